@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def map_texts(rows: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 
 def cut_batch(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    lengths = pa.compute.binary_length(batch.column("body")).to_pylist()
+    lengths = pc.binary_length(batch.column("body")).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if held and held + n > most:
