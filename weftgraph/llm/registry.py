@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import quality, sentence_pieces, token_counts
+from weftgraph.llm import mixing, pii, quality, sentence_pieces, token_counts
 from weftgraph.session import table
 
 
@@ -25,6 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -38,7 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sentence_pieces, op5_quality, op6_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op4_sentence_pieces, op5_quality, op6_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
