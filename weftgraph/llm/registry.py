@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, pii, quality, sentence_pieces, token_counts
+from weftgraph.llm import minhash, mixing, pii, quality, sentence_pieces, token_counts
 from weftgraph.session import table
 
 
@@ -45,8 +45,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op4_sentence_pieces, op5_quality, op6_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op4_sentence_pieces, op5_quality, op6_token_counts, op7_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
