@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import minhash, mixing, pii, quality, sentence_pieces, token_counts
+from weftgraph.llm import minhash, mixing, pii, quality, sentence_pieces, suffix_dedup, token_counts
 from weftgraph.session import table
 
 
@@ -49,8 +49,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op4_sentence_pieces, op5_quality, op6_token_counts, op7_minhash)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op4_sentence_pieces, op5_quality, op6_token_counts, op7_minhash, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
