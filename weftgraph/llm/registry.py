@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import minhash, mixing, pii, quality, sentence_pieces, suffix_dedup, token_counts
+from weftgraph.llm import chat, minhash, mixing, pii, quality, sentence_pieces, suffix_dedup, token_counts, topk, url_filter
 from weftgraph.session import table
 
 
@@ -53,9 +53,22 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op4_sentence_pieces, op5_quality, op6_token_counts, op7_minhash, op9_suffix_dedup)}
+    every = (op1_pii, op2_mixing, op3_chat, op4_sentence_pieces, op5_quality, op6_token_counts, op7_minhash, op8_url_filter, op9_suffix_dedup, op10_topk)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": chat.SQL}
