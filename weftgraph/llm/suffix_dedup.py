@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import text_bytes
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 SPREAD = LENGTH - GRAM + 1
 #: Windows of one run at most: the bits of a mask.
 RUN = 64
 #: Bytes of text of a group of documents, of a bucket, of a piece worked on at once.
-GROUP_BYTES, BUCKET_BYTES, PIECE_BYTES = 8 << 20, 4 << 20, 2 << 20
+GROUP_BYTES, BUCKET_BYTES, PIECE_BYTES = 8 << 20, 2 << 20, 1 << 20
 #: Windows of a batch that enters the index family of a bucket.
 BATCH_WINDOWS = 1 << 20
 
@@ -39,7 +39,7 @@ def words_at(buf: bytes) -> np.ndarray:
 def window_marks(buf: bytes) -> np.ndarray:
     """For each window of LENGTH bytes the smallest hash of its grams: equal windows have equal marks, neighbours mostly too."""
     u = words_at(buf)
-    a, b = u[:-8] * C[0], u[8:] * C[1]
+    a, b = u[: 8 - GRAM] * C[0], u[GRAM - 8 :] * C[1]
     a ^= a >> np.uint64(32)
     b ^= b >> np.uint64(29)
     a += b
@@ -52,21 +52,6 @@ def window_marks(buf: bytes) -> np.ndarray:
     return np.minimum(h[: len(h) - (SPREAD - width)], h[SPREAD - width :])
 
 
-_rng = np.random.default_rng(50)
-_BYTE = _rng.integers(0, 1 << 63, size=(2, 256), dtype=np.uint64)
-_BASE = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
-
-
-def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for r in _BASE:
-        p = np.full(n + 1, r, dtype=np.uint64)
-        q = np.full(n + 1, pow(r, -1, 1 << 64), dtype=np.uint64)
-        p[0] = q[0] = 1
-        out.append((np.cumprod(p), np.cumprod(q)))
-    return out
-
-
 class Runs:
     """Runs of windows of a group of documents, in order of doc_id.
 
@@ -99,13 +84,14 @@ class Runs:
         key, other = (key[:, 0], key[:, 1]) if len(key) else (key, key)
         doc_id = np.array([i for i in self.ids if i is not None], dtype=np.int64)[self.doc] if len(self.doc) else np.zeros(0, dtype=np.int64)
         self.doc_id = doc_id
-        by = np.lexsort((np.arange(len(key)), other, key))
-        new = np.ones(len(by), dtype=bool)
-        if len(by):
-            k, o, s = key[by], other[by], self.size[by]
-            new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (s[1:] != s[:-1])
+        by = np.argsort(key)
+        if ((key[by][1:] == key[by][:-1]) & (other[by][1:] != other[by][:-1])).any():
+            by = np.lexsort((other, key))
+        k, o = key[by], other[by]
         self.first = np.empty(len(by), dtype=np.int64)
-        self.first[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
+        if len(by):
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))
+            self.first[by] = np.minimum.reduceat(by, np.flatnonzero(new))[np.cumsum(new) - 1]
         self.whole = doc_id[self.first] < doc_id
         bucket = ((mark.astype(np.uint64) * C[3]) >> np.uint64(32)) % np.uint64(buckets)
         own = np.flatnonzero(self.first == np.arange(len(self.first)))
@@ -129,23 +115,23 @@ class Runs:
             return
         m = mark[places]
         fresh = np.concatenate(([True], (m[1:] != m[:-1]) | (places[1:] != places[:-1] + 1)))
-        doc_of = np.searchsorted(ends, places, side="right")
-        fresh[1:] |= doc_of[1:] != doc_of[:-1]
+        # Windows of two documents are never next to each other, so a run lies in one.
         since = np.arange(len(places)) - np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
         head = np.flatnonzero(since % RUN == 0)
         size = np.diff(np.append(head, len(places)))
         start = places[head]
-        raw = np.frombuffer(buf, dtype=np.uint8)
-        found = []
-        for byte, (p, q) in zip(_BYTE, _powers(held), strict=True):
-            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(byte[raw] * p[:held])))
-            h = (total[start + size + LENGTH - 1] - total[start]) * q[start]
-            found.append((h ^ (h >> np.uint64(31))) * C[0])
+        # Three windows cover all bytes of a run of RUN windows.
+        u = words_at(buf)
+        key = np.stack(fingerprints(u, start), axis=1)
+        for more in (size // 2, size - 1):
+            key = (key ^ np.stack(fingerprints(u, start + more), axis=1)) * C[3]
+            key ^= key >> np.uint64(30)
+        key = (key + size[:, None].astype(np.uint64)) * C[1]
         starts.append(start + base)
         sizes.append(size)
         marks.append(m[head])
-        docs.append(doc_of[head] + at)
-        keys.append(np.stack(found, axis=1))
+        docs.append(np.searchsorted(ends, start, side="right") + at)
+        keys.append(key)
 
     def payloads(self):
         """(bucket, packed runs) for each bucket that gets any."""
@@ -170,80 +156,99 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, size, np.frombuffer(raw, dtype=np.uint8, offset=8 + 9 * n)
 
 
+class Collision(Exception):
+    """Two different suffixes have one fingerprint."""
+
+
 class IndexFamily:
-    """Levels of suffixes in order of a 128-bit fingerprint of their first LENGTH bytes, each with the smallest document.
+    """Levels of suffixes in order of a fingerprint of their first LENGTH bytes, each with its place and its smallest document.
 
     A new batch is ordered by itself and merge-scanned against every level; what no level
     has yet becomes a level, and levels of about one size are merged. Batches have to
     come in order of documents, so a match in a level lies in a document not larger.
+    Matches are compared byte by byte; if one is false, Collision asks for other fingerprints.
     """
 
-    def __init__(self):
+    def __init__(self, body: np.ndarray):
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = np.lib.stride_tricks.sliding_window_view(body, LENGTH)
 
-    def add(self, high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        for at in range(0, len(a), 1 << 16):
+            if (self.rows[a[at : at + (1 << 16)]] != self.rows[b[at : at + (1 << 16)]]).any():
+                raise Collision
+
+    def add(self, print_: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Whether each suffix of the batch also starts in a smaller document, of the batch or of those before."""
-        order = np.argsort(high)
-        h, lo = high[order], low[order]
-        if ((h[1:] == h[:-1]) & (lo[1:] != lo[:-1])).any():
-            order = np.lexsort((low, high))
-            h, lo = high[order], low[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])))
+        order = np.argsort(print_)
+        h, p, d = print_[order], place[order], doc[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        again = np.flatnonzero(~new)
+        self.compare(p[again - 1], p[again])
         starts = np.flatnonzero(new)
-        d = doc[order]
         least = np.minimum.reduceat(d, starts)
-        h, lo = h[starts], lo[starts]
+        h, p = h[starts], p[starts]
         known = np.zeros(len(h), dtype=bool)
-        for lh, ll, ld in self.levels:
-            at = np.searchsorted(lh, h)
-            for _ in range(2):  # two fingerprints may share their first half
-                inside = np.minimum(at, len(lh) - 1)
-                hit = (lh[inside] == h) & (ll[inside] == lo)
-                least = np.where(hit, np.minimum(least, ld[inside]), least)
-                known |= hit
-                at = at + 1
-        removed = np.empty(len(high), dtype=bool)
+        for lh, lp, ld in self.levels:
+            at = np.minimum(np.searchsorted(lh, h), len(lh) - 1)
+            hit = np.flatnonzero(lh[at] == h)
+            self.compare(lp[at[hit]], p[hit])
+            least[hit] = np.minimum(least[hit], ld[at[hit]])
+            known[hit] = True
+        removed = np.empty(len(print_), dtype=bool)
         removed[order] = least[np.cumsum(new) - 1] < d
-        self._push(h[~known], lo[~known], least[~known])
+        self._push(h[~known], p[~known], least[~known])
         return removed
 
-    def _push(self, h: np.ndarray, lo: np.ndarray, d: np.ndarray) -> None:
+    def _push(self, h: np.ndarray, p: np.ndarray, d: np.ndarray) -> None:
         while self.levels and len(self.levels[-1][0]) <= 2 * len(h):
-            ph, pl, pd = self.levels.pop()
-            h, lo, d = np.concatenate((ph, h)), np.concatenate((pl, lo)), np.concatenate((pd, d))
+            lh, lp, ld = self.levels.pop()
+            h, p, d = np.concatenate((lh, h)), np.concatenate((lp, p)), np.concatenate((ld, d))
             order = np.argsort(h, kind="stable")
-            h, lo, d = h[order], lo[order], d[order]
+            h, p, d = h[order], p[order], d[order]
         if len(h):
-            self.levels.append((h, lo, d))
+            self.levels.append((h, p, d))
 
 
-def fingerprints(body: bytes, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the LENGTH bytes from each place."""
-    u = words_at(body)
-    high = np.full(len(places), LENGTH, dtype=np.uint64)
-    low = np.full(len(places), 1, dtype=np.uint64)
+def fingerprint(u: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of the LENGTH bytes from each place; `u` has the 8 bytes from each position."""
+    h = np.full(len(places), seed, dtype=np.uint64)
     for off in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        g = u[places + off]
-        high ^= g
-        high *= C[0]
-        high ^= high >> np.uint64(31)
-        low += g
-        low *= C[1]
-        low ^= low >> np.uint64(29)
-    return high, low
+        h ^= u[places + off]
+        h *= C[seed % 2]
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def fingerprints(u: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return fingerprint(u, places, 50), fingerprint(u, places, 51)
 
 
 def scan_bucket(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each payload the runs, by their order in it, that hold removed windows, and the mask of those."""
     parts = [unpack(p) for p in payloads]
-    ids = np.concatenate([p[0] for p in parts])
-    size = np.concatenate([p[1] for p in parts])
-    body = np.concatenate([p[2] for p in parts])
+    ids, size, body = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    for seed in range(100, 200):
+        try:
+            masks = _scan(ids, size, body, seed)
+            break
+        except Collision:
+            continue
+    ends = np.cumsum([len(p[0]) for p in parts])
+    out = []
+    for part, end in zip(parts, ends.tolist(), strict=True):
+        own = masks[end - len(part[0]) : end]
+        hit = np.flatnonzero(own)
+        out.append((hit, own[hit]))
+    return out
+
+
+def _scan(ids: np.ndarray, size: np.ndarray, body: np.ndarray, seed: int) -> np.ndarray:
     n = size + LENGTH - 1
     offset = np.cumsum(n) - n
     order = np.argsort(ids, kind="stable")
     masks = np.zeros(len(ids), dtype=np.uint64)
-    family = IndexFamily()
+    family = IndexFamily(body)
     windows = np.cumsum(size[order])
     at = 0
     while at < len(order):
@@ -252,18 +257,12 @@ def scan_bucket(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         k, s = n[runs], size[runs]
         held = body[np.repeat(offset[runs] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))].tobytes()
         inside = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
-        places = np.repeat(np.cumsum(k) - k, s) + inside
-        removed = family.add(*fingerprints(held, places), np.repeat(ids[runs], s))
+        prints = fingerprint(words_at(held), np.repeat(np.cumsum(k) - k, s) + inside, seed)
+        removed = family.add(prints, np.repeat(offset[runs], s) + inside, np.repeat(ids[runs], s))
         bits = np.where(removed, np.uint64(1) << inside.astype(np.uint64), np.uint64(0))
         masks[runs] = np.bitwise_or.reduceat(bits, np.cumsum(s) - s)
         at = end
-    ends = np.cumsum([len(p[0]) for p in parts])
-    out = []
-    for i, end in enumerate(ends):
-        own = masks[end - len(parts[i][0]) : end]
-        hit = np.flatnonzero(own)
-        out.append((hit, own[hit]))
-    return out
+    return masks
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
