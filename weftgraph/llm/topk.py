@@ -39,7 +39,9 @@ class MultiIndex:
         ids, codes = ids[order], codes[order]
         new = np.concatenate(([True], (codes[1:] != codes[:-1]).any(axis=1)))
         place = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-        self.ids, self.codes = ids[place < k], codes[place < k]
+        ids, codes = ids[place < k], codes[place < k]
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.codes = ids[by_id], codes[by_id]
         self.segments = np.ascontiguousarray(self.codes).view(np.uint16)
         self.tables = []
         for s in range(self.segments.shape[1]):
@@ -47,6 +49,20 @@ class MultiIndex:
             starts = np.concatenate(([0], np.cumsum(np.bincount(self.segments[:, s], minlength=1 << SEGMENT))))
             self.tables.append((by, starts))
 
+    def scan(self, some: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest of all codes of the shard for each of some queries; rows are in order of id, so the place breaks ties."""
+        n, far = len(self.ids), 64 * self.codes.shape[1] + 1
+        distance = np.zeros((len(some), n), dtype=np.int64)
+        for word in range(self.codes.shape[1]):
+            distance += np.bitwise_count(queries[some, word][:, None] ^ self.codes[:, word][None, :])
+        distance[self.ids[None, :] == query_ids[some][:, None]] = far
+        key = distance * n + np.arange(n)
+        if n > k:
+            key = np.partition(key, k - 1, axis=1)[:, :k]
+        row, column = np.nonzero(key < far * n)
+        key = key[row, column]
+        return some[row], key % n, key // n
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the query, id, distance) of the k nearest rows of each query but itself, by distance, then id.
 
@@ -62,18 +78,19 @@ class MultiIndex:
         while len(open_):
             probe = masks(radius)
             if m * len(probe) * PROBE_SHARE > len(self.ids) or radius > SEGMENT:
-                new_q, new_i = np.repeat(open_, len(self.ids)), np.tile(np.arange(len(self.ids)), len(open_))
-                done_at = m * SEGMENT
-            else:
-                got_q, got_i = [], []
-                for s, (by, starts) in enumerate(self.tables):
-                    values = (segments[open_, s][:, None] ^ probe[None, :]).astype(np.int64).ravel()
-                    n = starts[values + 1] - starts[values]
-                    at = np.repeat(starts[values] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    got_q.append(np.repeat(np.repeat(open_, len(probe)), n))
-                    got_i.append(by[at])
-                new_q, new_i = np.concatenate(got_q), np.concatenate(got_i)
-                done_at = m * (radius + 1) - 1
+                rest = [self.scan(open_[at : at + 64], query_ids, queries, k) for at in range(0, len(open_), 64)]
+                closed = ~np.isin(q, open_)
+                q, i, d = (np.concatenate([x[closed], *[r[n] for r in rest]]) for n, x in enumerate((q, i, d)))
+                break
+            got_q, got_i = [], []
+            for s, (by, starts) in enumerate(self.tables):
+                values = (segments[open_, s][:, None] ^ probe[None, :]).astype(np.int64).ravel()
+                n = starts[values + 1] - starts[values]
+                at = np.repeat(starts[values] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                got_q.append(np.repeat(np.repeat(open_, len(probe)), n))
+                got_i.append(by[at])
+            new_q, new_i = np.concatenate(got_q), np.concatenate(got_i)
+            done_at = m * (radius + 1) - 1
             new_d = np.bitwise_count(self.codes[new_i] ^ queries[new_q]).sum(axis=1).astype(np.int64)
             other = self.ids[new_i] != query_ids[new_q]
             q, i, d = (np.concatenate(x) for x in ((q, new_q[other]), (i, new_i[other]), (d, new_d[other])))
@@ -86,7 +103,7 @@ class MultiIndex:
             q, i, d, place = q[place < k], i[place < k], d[place < k], place[place < k]
             covered = np.zeros(len(queries), dtype=bool)
             covered[q[(place == k - 1) & (d <= done_at)]] = True
-            open_ = open_[~covered[open_]] if done_at < m * SEGMENT else open_[:0]
+            open_ = open_[~covered[open_]]
             radius += 1
         return q, self.ids[i], d
 
@@ -134,6 +151,7 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 20) -> DataFrame:
         return pa.table([pa.array(query_ids[q], pa.int64()), pa.array(found, pa.int64()), pa.array(d, pa.int64())], ["query_id", "vec_id", "distance"])
 
     pairs = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long")).join(queries, "block")
-    found = pairs.groupBy("shard", "block").applyInArrow(scan, "query_id long, vec_id long, distance long")
+    # The pairs are few rows with much work each: as many partitions as pairs, up to a bound.
+    found = pairs.repartition(min(shards * blocks, 2000), "shard", "block").groupBy("shard", "block").applyInArrow(scan, "query_id long, vec_id long, distance long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
