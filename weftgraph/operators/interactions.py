@@ -20,13 +20,6 @@ def user_degree_filter(pairs: DataFrame, low: int = 2, high: int = 30) -> DataFr
     return pairs.join(users, "user_id", "left_semi")
 
 
-def _round(edges: DataFrame, min_user: int, min_item: int) -> tuple[DataFrame, DataFrame]:
-    items = edges.groupBy("app_id").count().where(F.col("count") >= min_item).select("app_id")
-    by_item = edges.join(items, "app_id", "left_semi").select("user_id", "app_id")
-    users = by_item.groupBy("user_id").count().where(F.col("count") >= min_user).select("user_id")
-    return by_item, by_item.join(users, "user_id", "left_semi").select("user_id", "app_id")
-
-
 def core_prune(pairs: DataFrame, min_user: int = 2, max_user: int = 30, min_item: int = 10) -> tuple[DataFrame, list[dict]]:
     """The largest part in which users have min_user or more items and items min_item or more users.
 
@@ -38,9 +31,8 @@ def core_prune(pairs: DataFrame, min_user: int = 2, max_user: int = 30, min_item
     before = edges.count()
     rounds = []
     while True:
-        by_item, by_user = _round(edges, min_user, min_item)
-        by_item = materialize(by_item)
-        by_user = materialize(_round_users(by_item, min_user))
+        by_item = materialize(_at_least(edges, "app_id", min_item))
+        by_user = materialize(_at_least(by_item, "user_id", min_user))
         after_items, after = by_item.count(), by_user.count()
         rounds.append({"round": len(rounds) + 1, "removed_by_item": before - after_items, "removed_by_user": after_items - after, "n_edges": after})
         edges = by_user
@@ -49,9 +41,9 @@ def core_prune(pairs: DataFrame, min_user: int = 2, max_user: int = 30, min_item
         before = after
 
 
-def _round_users(edges: DataFrame, min_user: int) -> DataFrame:
-    users = edges.groupBy("user_id").count().where(F.col("count") >= min_user).select("user_id")
-    return edges.join(users, "user_id", "left_semi").select("user_id", "app_id")
+def _at_least(edges: DataFrame, key: str, low: int) -> DataFrame:
+    good = edges.groupBy(key).count().where(F.col("count") >= low).select(key)
+    return edges.join(good, key, "left_semi").select("user_id", "app_id")
 
 
 def stats(pairs: DataFrame) -> DataFrame:

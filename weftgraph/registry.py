@@ -1,21 +1,494 @@
-"""Every query of the engine outside the corpus subpackage, with its DuckDB SQL."""
+"""Every query of the engine outside the corpus subpackage, with its DuckDB SQL.
+
+Bindings: users are orders, items are parts (distinct pairs of `lineitem`); the tags of an
+item are the words of its name, its brand, its type and its size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.operators import bipartite, centrality, communities, compare, interactions, neighbours, projection, tags
+from weftgraph.operators.components import connected_components
+from weftgraph.plans import audit
+from weftgraph.session import materialize, table
+
+CORE = (2, 30, 24)
+TAGS = tags.TagConfig(min_freq=50, max_ratio=0.15, rename={"size:1": "size:small", "size:2": "size:small"}, blacklist=("size:50",), protected=("size:small",))
+THRESHOLDS = [0.0, 0.018, 0.02, 0.025, 0.03, 0.035, 0.05]
+CUT = 0.02
+K = 10
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+# Inputs ---------------------------------------------------------------------
+
+
+def raw(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS user_id", "l_partkey AS app_id")
+
+
+def users_items(spark: SparkSession, sf: str) -> DataFrame:
+    return interactions.user_degree_filter(interactions.dedupe(raw(spark, sf)))
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("app_id"), F.concat(words, F.array("p_brand", "p_type", F.concat(F.lit("size:"), "p_size"))).alias("tags"))
+
+
+def universe(spark: SparkSession, sf: str) -> DataFrame:
+    return users_items(spark, sf).select(F.col("app_id").alias("id")).distinct()
+
+
+def graph(spark: SparkSession, sf: str) -> DataFrame:
+    return projection.project_pairs(users_items(spark, sf))
+
+
+def tag_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return projection.project_pairs(tags.clean(items(spark, sf), TAGS), "tag", "app_id")
+
+
+def final_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(projection.threshold_filter(graph(spark, sf), CUT))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.both_ways(graph(spark, sf)).groupBy("id").agg(F.count("*").alias("degree"), F.max("weight").alias("top_weight"))
+
+
+# SQL fragments --------------------------------------------------------------
+
+INTER = "inter AS (SELECT DISTINCT l_orderkey AS user_id, l_partkey AS app_id FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)"
+UF = INTER + ", uf AS (SELECT * FROM inter WHERE user_id IN (SELECT user_id FROM inter GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30))"
+
+
+def r(part: str, whole: str, digits: int) -> str:
+    """Half-up ratio on integers."""
+    return f"(((2 * CAST({part} AS HUGEINT) * {10**digits} + {whole}) // (2 * nullif({whole}, 0))) / {10**digits}.0)::DOUBLE"
+
+
+def pairs_sql(source: str, hub: str, name: str) -> str:
+    return (
+        f"{name}_n AS (SELECT app_id, count(*) AS n FROM {source} GROUP BY 1), "
+        f"{name}_s AS (SELECT a.app_id AS src, b.app_id AS dst, count(*) AS shared FROM {source} a JOIN {source} b ON a.{hub} = b.{hub} AND a.app_id < b.app_id GROUP BY 1, 2), "
+        f"{name} AS (SELECT src, dst, shared, {r('shared', '(x.n + y.n - shared)', 6)} AS weight FROM {name}_s JOIN {name}_n x ON x.app_id = src JOIN {name}_n y ON y.app_id = dst)"
+    )
+
+
+G = UF + ", " + pairs_sql("uf", "user_id", "g")
+UNI = "uni AS (SELECT DISTINCT app_id AS id FROM uf)"
+TAG_RAW = """traw AS (
+  SELECT p_partkey AS app_id, trim(unnest(list_concat(string_split(p_name, ' '), [p_brand, p_type, 'size:' || p_size]))) AS tag_original FROM part
+), tnorm AS (
+  SELECT app_id, tag_original, CASE WHEN tag_original IN ('size:1', 'size:2') THEN 'size:small' ELSE tag_original END AS tag FROM traw WHERE tag_original <> ''
+), tkept AS (SELECT * FROM tnorm WHERE tag <> 'size:50'
+), tfreq AS (
+  SELECT tag, freq, n_items, tag = 'size:small' AS protected, tag <> 'size:small' AND freq > n_items * 0.15 AS too_frequent, tag <> 'size:small' AND freq < 50 AS rare
+  FROM (SELECT tag, count(*) AS freq FROM tkept GROUP BY 1), (SELECT count(DISTINCT app_id) AS n_items FROM tkept)
+), tclean AS (SELECT DISTINCT app_id, tag FROM tkept WHERE tag IN (SELECT tag FROM tfreq WHERE NOT too_frequent AND NOT rare))"""
+TG = TAG_RAW + ", " + pairs_sql("tclean", "tag", "t")
+WAYS = "ways AS (SELECT src AS id, dst AS other, weight FROM f UNION ALL SELECT dst, src, weight FROM f)"
+FIN = G + f", f AS (SELECT * FROM g WHERE weight >= {CUT}), " + UNI + ", " + WAYS
+COMPONENTS = (
+    "reach AS (SELECT id, id AS label FROM uni UNION SELECT w.other, reach.label FROM reach JOIN ways w ON w.id = reach.id WHERE reach.label < w.other), "
+    "comp AS (SELECT id, min(label) AS component FROM reach GROUP BY 1)"
+)
+
+
+def core_sql(rounds: int = 8) -> str:
+    low_user, high_user, low_item = CORE
+    parts = [INTER, f"e0 AS MATERIALIZED (SELECT * FROM inter WHERE user_id IN (SELECT user_id FROM inter GROUP BY 1 HAVING count(*) BETWEEN {low_user} AND {high_user}))"]
+    for i in range(rounds):
+        parts.append(f"i{i} AS MATERIALIZED (SELECT * FROM e{i} WHERE app_id IN (SELECT app_id FROM e{i} GROUP BY 1 HAVING count(*) >= {low_item}))")
+        parts.append(f"e{i + 1} AS MATERIALIZED (SELECT * FROM i{i} WHERE user_id IN (SELECT user_id FROM i{i} GROUP BY 1 HAVING count(*) >= {low_user}))")
+    return ", ".join(parts)
+
+
+# Interactions ---------------------------------------------------------------
+
+
+@query(f"WITH {INTER} SELECT * FROM inter")
+def dedupe_interactions(spark, sf):
+    return interactions.dedupe(raw(spark, sf))
+
+
+@query(f"WITH {UF} SELECT * FROM uf")
+def user_degree_filter(spark, sf):
+    return users_items(spark, sf)
+
+
+@query(f"WITH {core_sql()} SELECT * FROM e8")
+def core_prune(spark, sf):
+    return interactions.core_prune(interactions.dedupe(raw(spark, sf)), *CORE)[0]
+
+
+@query(
+    f"WITH {core_sql()}, s AS ("
+    + " UNION ALL ".join(f"SELECT {i + 1} AS round, (SELECT count(*) FROM e{i}) AS b, (SELECT count(*) FROM i{i}) AS m, (SELECT count(*) FROM e{i + 1}) AS n_edges" for i in range(8))
+    + ") SELECT round, b - m AS removed_by_item, m - n_edges AS removed_by_user, n_edges FROM s WHERE round <= (SELECT min(round) FROM s WHERE b = n_edges)"
+)
+def core_prune_summary(spark, sf):
+    rounds = interactions.core_prune(interactions.dedupe(raw(spark, sf)), *CORE)[1]
+    return spark.createDataFrame([(x["round"], x["removed_by_item"], x["removed_by_user"], x["n_edges"]) for x in rounds], "round int, removed_by_item long, removed_by_user long, n_edges long")
+
+
+@query(
+    f"WITH {UF}, u AS (SELECT user_id, count(*) AS n FROM uf GROUP BY 1), i AS (SELECT app_id, count(*) AS n FROM uf GROUP BY 1), "
+    "a AS (SELECT CAST(sum(n) AS BIGINT) AS n_edges, count(*) AS n_users, min(n) AS min_items_per_user, max(n) AS max_items_per_user, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS user_induced_pairs FROM u), "
+    "b AS (SELECT count(*) AS n_items, min(n) AS min_users_per_item, max(n) AS max_users_per_item FROM i) "
+    f"SELECT a.*, b.*, {r('n_edges', 'n_users', 4)} AS avg_items_per_user, {r('n_edges', 'n_items', 4)} AS avg_users_per_item FROM a, b"
+)
+def interaction_stats(spark, sf):
+    return interactions.stats(users_items(spark, sf))
+
+
+@query(
+    f"WITH {INTER}, d AS (SELECT user_id, count(*) AS deg FROM inter GROUP BY 1), mu AS (SELECT unnest([3, 5, 10, 30]) AS max_user), mi AS (SELECT unnest([10, 20, 24, 28]) AS min_item), "
+    "e AS (SELECT user_id, app_id, max_user FROM inter JOIN d USING (user_id), mu WHERE deg BETWEEN 2 AND max_user), c AS (SELECT max_user, app_id, count(*) AS n FROM e GROUP BY ALL) "
+    f"SELECT max_user, min_item, count(DISTINCT user_id) AS n_users, count(DISTINCT app_id) AS n_items, count(*) AS n_edges, {r('100 * count(*)', '(SELECT count(*) FROM inter)', 2)} AS pct_edges "
+    "FROM e JOIN c USING (max_user, app_id), mi WHERE n >= min_item GROUP BY ALL"
+)
+def filter_sensitivity_grid(spark, sf):
+    return interactions.sensitivity_grid(interactions.dedupe(raw(spark, sf)), [3, 5, 10, 30], [10, 20, 24, 28])
+
+
+@query("SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS app_id FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL")
+def json_extract_interactions(spark, sf):
+    return interactions.dedupe(table(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("app_id")))
+
+
+# Tags -----------------------------------------------------------------------
+
+
+@query(f"WITH {TAG_RAW} SELECT app_id, tag_original AS tag FROM traw WHERE tag_original <> ''")
+def explode_tags(spark, sf):
+    return tags.explode_tags(items(spark, sf))
+
+
+@query(f"WITH {TAG_RAW} SELECT app_id, tag, tag_original FROM tnorm")
+def normalize_tags(spark, sf):
+    return tags.normalize(tags.explode_tags(items(spark, sf)), TAGS)
+
+
+@query(f"WITH {TAG_RAW} SELECT * FROM tfreq")
+def tag_frequency(spark, sf):
+    return tags.verdicts(tags.normalize(tags.explode_tags(items(spark, sf)), TAGS), TAGS)
+
+
+@query(f"WITH {TAG_RAW} SELECT * FROM tclean")
+def clean_tags(spark, sf):
+    return tags.clean(items(spark, sf), TAGS)
+
+
+@query(
+    f"WITH {TAG_RAW}, x AS (SELECT '1_raw' AS stage, app_id, tag_original AS tag FROM tnorm UNION ALL SELECT '2_normalized', app_id, tag FROM tnorm UNION ALL SELECT '3_blacklist', app_id, tag FROM tkept UNION ALL SELECT '4_final', app_id, tag FROM tclean) "
+    "SELECT stage, count(*) AS n_pairs, count(DISTINCT app_id) AS n_items, count(DISTINCT tag) AS n_tags FROM x GROUP BY 1"
+)
+def tag_funnel(spark, sf):
+    return tags.funnel(items(spark, sf), TAGS)
+
+
+@query(f"WITH {TAG_RAW} SELECT tag_original, tag, count(*) AS freq FROM tnorm WHERE tag_original <> tag GROUP BY ALL")
+def normalization_summary(spark, sf):
+    return tags.renamed(tags.normalize(tags.explode_tags(items(spark, sf)), TAGS))
+
+
+@query(f"WITH {TAG_RAW}, x AS (SELECT app_id, count(DISTINCT tag) AS n FROM tclean GROUP BY 1) SELECT count(*) AS n_items, min(n) AS min_tags, max(n) AS max_tags, round(avg(n), 4) AS avg_tags, quantile_cont(n, 0.5) AS median_tags FROM x")
+def tags_per_item_stats(spark, sf):
+    return tags.tags_per_item(tags.clean(items(spark, sf), TAGS))
+
+
+@query(f"WITH {TAG_RAW} SELECT p_partkey AS app_id, p_name AS name FROM part WHERE p_partkey IN (SELECT app_id FROM tclean)")
+def item_dimension(spark, sf):
+    ids = tags.clean(items(spark, sf), TAGS).select("app_id").distinct()
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("app_id"), F.col("p_name").alias("name")).join(ids, "app_id", "left_semi")
+
+
+@query(f"WITH {UF}, {TAG_RAW} SELECT DISTINCT app_id FROM uf WHERE app_id IN (SELECT app_id FROM tclean)")
+def common_universe(spark, sf):
+    return users_items(spark, sf).select("app_id").intersect(tags.clean(items(spark, sf), TAGS).select("app_id"))
+
+
+@query(
+    f"WITH {UF}, {TAG_RAW}, l AS (SELECT DISTINCT app_id FROM tclean), q AS (SELECT DISTINCT app_id FROM uf), c AS (SELECT (SELECT count(*) FROM l) AS n_left, (SELECT count(*) FROM q) AS n_right, (SELECT count(*) FROM l JOIN q USING (app_id)) AS n_common) "
+    f"SELECT n_left, n_right, n_common, n_left - n_common AS n_left_only, n_right - n_common AS n_right_only, {r('100 * n_common', 'n_left', 2)} AS pct_left, {r('100 * n_common', 'n_right', 2)} AS pct_right FROM c"
+)
+def universe_overlap_stats(spark, sf):
+    return tags.overlap_stats(tags.clean(items(spark, sf), TAGS), users_items(spark, sf))
+
+
+# Bipartite graphs -----------------------------------------------------------
+
+
+@query(f"WITH {UF}, c AS (SELECT count(*) AS e, count(DISTINCT user_id) AS l, count(DISTINCT app_id) AS q FROM uf) SELECT l AS n_left, q AS n_right, l + q AS n_nodes, e AS n_edges, {r('2 * e', '(l + q)', 4)} AS avg_degree FROM c")
+def bipartite_stats(spark, sf):
+    return bipartite.stats(users_items(spark, sf), "user_id", "app_id")
+
+
+@query(
+    f"WITH {UF}, d AS (SELECT 'left' AS side, count(*) AS degree FROM uf GROUP BY user_id UNION ALL SELECT 'right', count(*) FROM uf GROUP BY app_id) "
+    "SELECT side, degree, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 'all', degree, count(*) FROM d GROUP BY degree"
+)
+def degree_distribution(spark, sf):
+    return bipartite.degree_distribution(users_items(spark, sf), "user_id", "app_id")
+
+
+@query()
+def log_binned_degrees(spark, sf):
+    return bipartite.log_binned(bipartite.degree_distribution(users_items(spark, sf), "user_id", "app_id").where("side = 'right'"))
+
+
+@query()
+def component_size_distribution(spark, sf):
+    return bipartite.component_sizes(users_items(spark, sf), "user_id", "app_id")
+
+
+@query(
+    f"""WITH {UF}, x AS (SELECT DISTINCT '<node id="user_id:' || user_id || '"><data key="d0">user_id</data></node>' AS line FROM uf
+    UNION ALL SELECT DISTINCT '<node id="app_id:' || app_id || '"><data key="d0">app_id</data></node>' FROM uf
+    UNION ALL SELECT '<edge source="user_id:' || user_id || '" target="app_id:' || app_id || '"/>' FROM uf)
+    SELECT CAST(sum(strlen(line) + 1) + {len(bipartite.HEAD) + len(bipartite.TAIL) + 2} AS BIGINT) AS n_bytes FROM x"""
+)
+def graphml_size_estimate(spark, sf):
+    return bipartite.graphml_size(users_items(spark, sf), "user_id", "app_id")
+
+
+# Projections ----------------------------------------------------------------
+
+
+@query(f"WITH {UF}, d AS (SELECT count(*) AS n FROM uf GROUP BY user_id) SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS raw_pair_incidences, count(*) AS n_hubs, max(n) AS max_degree FROM d")
+def projection_estimate(spark, sf):
+    return projection.estimate(users_items(spark, sf))
+
+
+@query(f"WITH {G} SELECT * FROM g")
+def project_user_item(spark, sf):
+    return graph(spark, sf)
+
+
+@query(f"WITH {TG} SELECT * FROM t")
+def project_item_tag(spark, sf):
+    return tag_graph(spark, sf)
+
+
+@query(f"WITH RECURSIVE {FIN}, {COMPONENTS} SELECT id, component FROM comp")
+def connected_components_final(spark, sf):
+    return connected_components(universe(spark, sf), final_graph(spark, sf))
+
+
+@query(
+    f"WITH {G}, {UNI}, th AS (SELECT CAST(unnest({THRESHOLDS}) AS DOUBLE) AS threshold), top AS (SELECT id, max(weight) AS w FROM (SELECT src AS id, weight FROM g UNION ALL SELECT dst, weight FROM g) GROUP BY 1), "
+    "a AS (SELECT threshold, (SELECT count(*) FROM g WHERE weight >= threshold) AS n_edges, (SELECT count(*) FROM uni) AS n, (SELECT count(*) FROM top WHERE w >= threshold) AS touched FROM th) "
+    f"SELECT threshold, n_edges, n - touched AS n_isolated, {r('100 * n_edges', '(SELECT max(n_edges) FROM a)', 4)} AS retained_pct, {r('2 * n_edges', 'n', 4)} AS avg_degree FROM a"
+)
+def threshold_sweep(spark, sf):
+    return projection.sweep(materialize(graph(spark, sf)), universe(spark, sf), THRESHOLDS)
+
+
+@query(f"WITH {G} SELECT * FROM g WHERE weight >= {CUT}")
+def threshold_filter(spark, sf):
+    return projection.threshold_filter(graph(spark, sf), CUT)
+
+
+@query(
+    f"WITH RECURSIVE {FIN}, {COMPONENTS}, deg AS (SELECT uni.id, count(other) AS degree FROM uni LEFT JOIN ways ON ways.id = uni.id GROUP BY 1), "
+    "c AS (SELECT count(*) AS n_components, max(n) AS giant FROM (SELECT count(*) AS n FROM comp GROUP BY component)), d AS (SELECT count(*) AS n_nodes, max(degree) AS max_degree, count(*) FILTER (WHERE degree = 0) AS n_isolated FROM deg), "
+    "w AS (SELECT count(*) AS n_edges, min(weight) AS min_weight, max(weight) AS max_weight, round(CAST(sum(CAST(weight AS DECIMAL(18,6))) AS DOUBLE), 4) AS sum_weight FROM f) "
+    f"SELECT n_nodes, n_edges, max_degree, n_isolated, n_components, {r('100 * giant', 'n_nodes', 4)} AS giant_pct, {r('2 * n_edges', 'n_nodes', 4)} AS avg_degree, {r('2 * n_edges', '(n_nodes * (n_nodes - 1))', 8)} AS density, min_weight, max_weight, sum_weight FROM c, d, w"
+)
+def projection_profile(spark, sf):
+    return projection.profile(final_graph(spark, sf), universe(spark, sf))
+
+
+@query(f"WITH {G} SELECT " + ", ".join(f"round(quantile_cont(weight, {a}), 9) AS q{n}" for a, n in ((0.25, 25), (0.5, 50), (0.75, 75), (0.9, 90), (0.99, 99))) + " FROM g")
+def weight_quantiles(spark, sf):
+    return compare.quantiles(graph(spark, sf), "weight")
+
+
+@query(
+    f"WITH {G}, o AS (SELECT weight AS value, row_number() OVER (ORDER BY src, dst) AS seen FROM g), s AS (SELECT value, seen, CASE WHEN seen <= 500 THEN seen - 1 ELSE ((seen * 1103515245 + 12345) & 2147483647) % seen END AS slot FROM o) "
+    "SELECT slot, arg_max(value, seen) AS value FROM s WHERE slot < 500 GROUP BY 1"
+)
+def weight_reservoir(spark, sf):
+    return compare.reservoir(graph(spark, sf), ["src", "dst"], "weight", 500)
+
+
+@query(
+    f"WITH {G}, s AS (SELECT min(weight) AS lo, max(weight) AS hi FROM g) SELECT CAST(coalesce(least(floor((weight - lo) * 50 / nullif(hi - lo, 0)), 49), 0) AS INTEGER) AS bin, count(*) AS n FROM g, s GROUP BY 1"
+)
+def weight_histogram(spark, sf):
+    return compare.histogram(graph(spark, sf), "weight", 50)
+
+
+# Comparison -----------------------------------------------------------------
+
+BOTH = G + ", " + TG
+SHARED = BOTH + ", sh AS (SELECT g.src, g.dst, t.weight AS w_left, g.weight AS w_right FROM g JOIN t ON g.src = t.src AND g.dst = t.dst)"
+
+
+@query(
+    f"WITH {SHARED}, c AS (SELECT (SELECT count(*) FROM t) AS n_left, (SELECT count(*) FROM g) AS n_right, (SELECT count(*) FROM sh) AS n_shared) "
+    f"SELECT n_left, n_right, n_shared, n_left + n_right - n_shared AS n_union, {r('n_shared', '(n_left + n_right - n_shared)', 6)} AS edge_jaccard FROM c"
+)
+def edge_overlap(spark, sf):
+    return compare.edge_overlap(tag_graph(spark, sf), graph(spark, sf))
+
+
+@query(f"WITH {SHARED} SELECT * FROM sh")
+def shared_edge_weights(spark, sf):
+    return compare.shared_edges(tag_graph(spark, sf), graph(spark, sf))
+
+
+@query(f"WITH {SHARED} SELECT count(*) AS n, round(corr(w_left, w_right), 6) AS pearson FROM sh")
+def pearson_shared(spark, sf):
+    return compare.pearson(compare.shared_edges(tag_graph(spark, sf), graph(spark, sf)), "w_left", "w_right")
+
+
+@query(
+    f"WITH {SHARED}, k AS (SELECT rank() OVER (ORDER BY w_left) + (count(*) OVER (PARTITION BY w_left) - 1) / 2.0 AS a, rank() OVER (ORDER BY w_right) + (count(*) OVER (PARTITION BY w_right) - 1) / 2.0 AS b FROM sh) "
+    "SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM k"
+)
+def spearman_shared(spark, sf):
+    return compare.spearman(materialize(compare.shared_edges(tag_graph(spark, sf), graph(spark, sf))), "w_left", "w_right")
+
+
+# Neighbours and centrality --------------------------------------------------
+
+KNN = FIN + f", ch AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY weight DESC, other DESC) AS n FROM ways), votes AS (SELECT least(id, other) AS src, greatest(id, other) AS dst, count(*) AS v FROM ch WHERE n <= {K} GROUP BY ALL)"
+
+
+@query(f"WITH {KNN} SELECT src, dst FROM votes")
+def knn_union(spark, sf):
+    return neighbours.knn_edges(final_graph(spark, sf), K, "union")
+
+
+@query(f"WITH {KNN} SELECT src, dst FROM votes WHERE v = 2")
+def knn_mutual(spark, sf):
+    return neighbours.knn_edges(final_graph(spark, sf), K, "mutual")
+
+
+@query(f"WITH {KNN} SELECT src, dst, shared, weight, 1 / weight AS distance FROM f JOIN votes USING (src, dst)")
+def knn_graph(spark, sf):
+    return neighbours.knn_graph(final_graph(spark, sf), K)
+
+
+STRENGTH = FIN + ", st AS (SELECT uni.id, coalesce(CAST(sum(CAST(weight AS DECIMAL(18,6))) AS DOUBLE), 0) AS score FROM uni LEFT JOIN ways ON ways.id = uni.id GROUP BY 1)"
+
+
+@query(f"WITH {STRENGTH} SELECT * FROM st")
+def strength(spark, sf):
+    return neighbours.strength(final_graph(spark, sf), universe(spark, sf))
+
+
+@query(f"WITH {STRENGTH} SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM st ORDER BY score DESC, id LIMIT 25")
+def centrality_topk(spark, sf):
+    return neighbours.top(neighbours.strength(final_graph(spark, sf), universe(spark, sf)), 25)
+
+
+@query(
+    f"WITH {STRENGTH}, dg AS (SELECT uni.id, CAST(count(other) AS DOUBLE) AS score FROM uni LEFT JOIN ways ON ways.id = uni.id GROUP BY 1), a AS (SELECT id FROM st ORDER BY score DESC, id LIMIT 25), b AS (SELECT id FROM dg ORDER BY score DESC, id LIMIT 25) "
+    f"SELECT count(*) AS n_shared, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, {r('100 * count(*)', '25', 2)} AS overlap_pct FROM a JOIN b USING (id)"
+)
+def topk_overlap(spark, sf):
+    edges, nodes = final_graph(spark, sf), universe(spark, sf)
+    degree = projection.degrees(edges, nodes).select("id", F.col("degree").cast("double").alias("score"))
+    return neighbours.top_overlap(neighbours.strength(edges, nodes), degree, 25)
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = [FIN, "outw AS (SELECT id, sum(weight) AS total FROM ways GROUP BY 1)", "steps AS MATERIALIZED (SELECT ways.id, other, weight / total AS p FROM ways JOIN outw USING (id))", "r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM uni) AS score FROM uni)"]
+    for i in range(rounds):
+        parts.append(
+            f"r{i + 1} AS MATERIALIZED (SELECT uni.id, 0.15 / (SELECT count(*) FROM uni) + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(score), 0) FROM r{i} WHERE id NOT IN (SELECT id FROM outw)) / (SELECT count(*) FROM uni)) AS score "
+            f"FROM uni LEFT JOIN (SELECT other AS id, sum(score * p) AS got FROM r{i} JOIN steps USING (id) GROUP BY 1) x ON x.id = uni.id)"
+        )
+    return ", ".join(parts)
+
+
+@query(f"WITH {_pagerank_sql(10)} SELECT id, round(score, 8) AS score FROM r10")
+def pagerank(spark, sf):
+    return centrality.pagerank(final_graph(spark, sf), universe(spark, sf), rounds=10).select("id", F.round("score", 8).alias("score"))
+
+
+@query()
+def betweenness(spark, sf):
+    edges = materialize(neighbours.knn_graph(projection.threshold_filter(final_graph(spark, sf), 0.03), K))
+    nodes = neighbours.both_ways(edges).select("id").distinct()
+    return centrality.betweenness(edges, nodes).select("id", F.round("score", 6).alias("score"))
+
+
+# Communities ----------------------------------------------------------------
+
+
+@query()
+def leiden(spark, sf):
+    return communities.detect(final_graph(spark, sf), universe(spark, sf))
+
+
+LABELS = "la AS (SELECT id, id % 7 AS community FROM uni), lb AS (SELECT id, id % 5 AS community FROM uni)"
+
+
+def _labels(spark, sf, n: int) -> DataFrame:
+    return universe(spark, sf).select("id", (F.col("id") % n).alias("community"))
+
+
+@query(
+    f"WITH {FIN}, {LABELS}, m AS (SELECT sum(weight) AS m FROM f), x AS (SELECT a.community AS c, CASE WHEN a.community = b.community THEN weight ELSE 0 END AS inside, weight AS w FROM f JOIN la a ON a.id = src JOIN la b ON b.id = dst UNION ALL SELECT b.community, 0, weight FROM f JOIN la b ON b.id = dst), "
+    "s AS (SELECT c, sum(inside) AS i, sum(w) AS d FROM x GROUP BY 1) SELECT count(*) AS n_communities, round(sum(i / m - (d / (2 * m)) ** 2), 6) AS modularity FROM s, m"
+)
+def modularity(spark, sf):
+    return compare.modularity(final_graph(spark, sf), _labels(spark, sf, 7))
+
+
+@query(
+    f"WITH {UF}, {UNI}, {LABELS}, c AS (SELECT la.community AS a, lb.community AS b, count(*) AS n FROM la JOIN lb USING (id) GROUP BY ALL), ra AS (SELECT a, sum(n) AS n FROM c GROUP BY 1), rb AS (SELECT b, sum(n) AS n FROM c GROUP BY 1), "
+    "t AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM c), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS s, (SELECT sum(n * (n - 1) / 2) FROM ra) AS x, (SELECT sum(n * (n - 1) / 2) FROM rb) AS y, "
+    "(SELECT sum(c.n / t * ln(c.n * t / (ra.n * rb.n))) FROM c JOIN ra USING (a) JOIN rb USING (b), t) AS mi, (SELECT -sum(n / t * ln(n / t)) FROM ra, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM rb, t) AS hb, t FROM t) "
+    "SELECT round((s - x * y / (t * (t - 1) / 2)) / ((x + y) / 2 - x * y / (t * (t - 1) / 2)), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi FROM s"
+)
+def ari_nmi(spark, sf):
+    return compare.partition_agreement(_labels(spark, sf, 7), _labels(spark, sf, 5))
+
 
+# Audit ----------------------------------------------------------------------
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.operators.projection import project_pairs
-    from weftgraph.session import table
 
-    pairs = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS user_id", "l_partkey AS app_id").dropDuplicates()
-    return project_pairs(pairs, "user_id", "app_id")
+@query()
+def audit_columns(spark, sf):
+    return audit.column_profile(table(spark, sf, "customer"))
 
 
-def queries() -> dict:
-    return {}
+@query(
+    f"WITH {UF}, d AS (SELECT count(*) AS n FROM uf GROUP BY app_id) SELECT " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in (("eq_1", "n = 1"), ("le_5", "n <= 5"), ("le_10", "n <= 10"), ("ge_100", "n >= 100"), ("ge_1k", "n >= 1000"), ("ge_10k", "n >= 10000"))) + " FROM d"
+)
+def audit_buckets(spark, sf):
+    return audit.degree_buckets(users_items(spark, sf), "app_id")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(f"WITH {UF}, d AS (SELECT count(*) AS n FROM uf GROUP BY app_id) SELECT " + ", ".join(f"quantile_disc(n, {a}) AS p{round(a * 100)}" for a in (0.5, 0.9, 0.99)) + " FROM d")
+def audit_nearest_rank(spark, sf):
+    return audit.nearest_rank(users_items(spark, sf), "app_id")
