@@ -135,7 +135,9 @@ class Runs:
 
     def payloads(self):
         """(bucket, packed runs) for each bucket that gets any."""
-        cuts = np.flatnonzero(np.concatenate(([True], self.bucket[1:] != self.bucket[:-1]))) if len(self.bucket) else []
+        if not len(self.bucket):
+            return
+        cuts = np.flatnonzero(np.concatenate(([True], self.bucket[1:] != self.bucket[:-1])))
         raw = np.frombuffer(self.buf, dtype=np.uint8)
         packer = zstandard.ZstdCompressor(level=3)
         for lo, hi in zip(cuts, [*cuts[1:], len(self.bucket)], strict=True):
