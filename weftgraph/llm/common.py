@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, forget: Callable[[], None]) -> None:
+    """Make room in a reused Python worker: what other operators remember is forgotten, `forget` being how to do so for `owner`."""
+    for other in [o for o in _memories if o != owner]:
+        _memories.pop(other)()
+    _memories[owner] = forget
+
+
 def text_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """`id_col`, the UTF-8 bytes of `text_col` as `body` (null: empty) and `extra`; every other column is dropped."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), *[F.col(c) for c in extra])

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import map_texts, text_bytes
+from weftgraph.llm.common import claim, map_texts, text_bytes
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
@@ -26,7 +26,7 @@ BIT_WORDS = ("b0", "b1", "b2", "b3")
 STAR_ROUNDS = 3
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-MEMO = 500_000
+MEMO = 200_000
 
 
 class WordHashes(dict):
@@ -106,6 +106,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, set size, 128-bit digest of the shingle set, band keys, bits of the signature. Map-only."""
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("minhash", _words.clear)
         sizes, high, low, keys, bits = [], [], [], [], []
         for body in batch.column("body").to_pylist():
             s = shingles(body)
@@ -126,6 +127,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("minhash", _words.clear)
         found = [shingles(b) for b in batch.column("body").to_pylist()]
         high, low = zip(*map(halves, found), strict=True)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["rep", "high", "low", "elements"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import map_texts, text_bytes
+from weftgraph.llm.common import claim, map_texts, text_bytes
 
 SPACES = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -136,12 +136,13 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def keep(batches):
+        claim("quality", lambda: None)
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            bodies = batch.column("text").cast(pa.binary())
+            texts = batch.column("text").cast(pa.binary())
             mask = []
-            for body in bodies:
-                body = body.as_py() or b""
+            for text in texts:
+                body = text.as_py() or b""
                 counts = base_counts(body)
                 mask.append(not (counts[0] < 10 or 100 * counts[4] > 20 * counts[0]) and compression_verdict(body, compressor)[4] == "kept")
             yield batch.filter(pa.array(mask, pa.bool_()))

@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import map_texts, text_bytes
+from weftgraph.llm.common import claim, map_texts, text_bytes
 from weftgraph.llm.merge_rounds import MergeTable
 
 SPACE = "▁"
 #: Encoded words that a worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 200_000
 #: Characters of one flat array of words.
 FLAT = 1 << 20
 
@@ -158,6 +158,7 @@ def _shared(docs: DataFrame, model_file: str):
 
 
 def _encoder(shared, key: str) -> Encoder:
+    claim("sentence_pieces", _loaded.clear)
     if key not in _loaded:
         _loaded[key] = Encoder(shared.value)
     return _loaded[key]

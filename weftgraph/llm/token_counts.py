@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import map_texts, text_bytes
+from weftgraph.llm.common import claim, map_texts, text_bytes
 from weftgraph.llm.merge_rounds import MergeTable
 
 END = "</w>"
@@ -134,6 +134,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048) -> Dat
     key = hashlib.sha256(raw.encode()).hexdigest()
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("token_counts", _loaded.clear)
         if key not in _loaded:
             _loaded[key] = WordBpe(*shared.value)
         bpe = _loaded[key]
