@@ -363,14 +363,14 @@ def shared_edge_weights(spark, sf):
     return compare.shared_edges(tag_graph(spark, sf), graph(spark, sf))
 
 
-@query(f"WITH {SHARED} SELECT count(*) AS n, round(corr(w_left, w_right), 6) AS pearson FROM sh")
+@query(f"WITH {SHARED} SELECT count(*) AS n, CASE WHEN min(w_left) < max(w_left) AND min(w_right) < max(w_right) THEN round(corr(w_left, w_right), 6) END AS pearson FROM sh")
 def pearson_shared(spark, sf):
     return compare.pearson(compare.shared_edges(tag_graph(spark, sf), graph(spark, sf)), "w_left", "w_right")
 
 
 @query(
     f"WITH {SHARED}, k AS (SELECT rank() OVER (ORDER BY w_left) + (count(*) OVER (PARTITION BY w_left) - 1) / 2.0 AS a, rank() OVER (ORDER BY w_right) + (count(*) OVER (PARTITION BY w_right) - 1) / 2.0 AS b FROM sh) "
-    "SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM k"
+    "SELECT count(*) AS n, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN round(corr(a, b), 6) END AS spearman FROM k"
 )
 def spearman_shared(spark, sf):
     return compare.spearman(materialize(compare.shared_edges(tag_graph(spark, sf), graph(spark, sf))), "w_left", "w_right")
