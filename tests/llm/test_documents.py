@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -216,3 +217,12 @@ def test_pipeline_runs(spark, tmp_path):
         seen.append((name, docs.columns, docs.count()))
     assert all(columns == [x.split()[0] for x in data.SCHEMA.split(", ")] for _, columns, _ in seen[:-1])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[-1][2] > 0
+
+
+def test_parity_sketch_never_overstates_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 50, 3000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: size * 3 // 4], rng.integers(0, 2**63, size // 3, dtype=np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (minhash.parity_sketch(a) ^ minhash.parity_sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))

@@ -24,6 +24,9 @@ MOST_BITS = 53
 BIT_WORDS = ("b0", "b1", "b2", "b3")
 #: Star rounds before what is left in a bucket is compared in full.
 STAR_ROUNDS = 3
+#: Words of 64 bits in a parity sketch. Each shingle flips one of its bits, so two sketches never differ in more
+#: bits than their sets differ in shingles: pairs that differ in too many go without any chance of a miss.
+PARITY_WORDS = 32
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MEMO = 200_000
@@ -96,6 +99,13 @@ def coordinate_bits(sig: np.ndarray) -> np.ndarray:
     return packed.view(np.int64)
 
 
+def parity_sketch(elements: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """Of each bit's number, whether an odd count of elements falls on it, in `words` 64-bit words."""
+    places = (elements >> np.uint64(16)) % np.uint64(64 * words)
+    counts = np.bincount(places.astype(np.int64), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def halves(s: np.ndarray) -> tuple[int, int]:
     """The 128-bit digest of a shingle set as two signed numbers."""
     digest = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -130,15 +140,18 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         claim("minhash", _words.clear)
         found = [shingles(b) for b in batch.column("body").to_pylist()]
         high, low = zip(*map(halves, found), strict=True)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["rep", "high", "low", "elements"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([parity_sketch(f) for f in found], pa.list_(pa.int64()))],
+            ["rep", "high", "low", "elements", "parity"],
+        )
 
-    return map_texts(docs, sets, "rep long, high long, low long, elements array<long>")
+    return map_texts(docs, sets, "rep long, high long, low long, elements array<long>, parity array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold; hot members are split by adaptive skew joins."""
-    left = sets.withColumnsRenamed({"rep": "a", "elements": "_x"})
-    right = sets.withColumnsRenamed({"rep": "b", "elements": "_y"})
+    left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("_x"))
+    right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("_y"))
     rows = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("_x", "_y")).cast("long")
     rows = rows.withColumn("_shared", shared).withColumn("_all", F.size("_x") + F.size("_y") - F.col("_shared"))
@@ -153,7 +166,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     class of a bucket is compared with one head only (first the most central class,
     then others by chance), unless both are in one component by then, so a bucket of thousands of near copies costs a line of
     comparisons; afterwards any two classes of a bucket that are still in
-    different components are compared too, so no link that joins components is lost. Links are verified on full sets.
+    different components are compared too, unless their parity sketches prove that they have no link, so no link that
+    joins components is lost. Links are verified on full sets.
 
     Null text, and text without words, has an empty set and links with nothing. A
     null doc_id gets a null component and is kept. Rows that repeat a doc_id share its
@@ -178,7 +192,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     wanted = crowded.select(F.col("rep").alias("doc_id")).distinct()
     sets = shingle_sets(text_bytes(docs).join(wanted, "doc_id", "left_semi"))
     digests = named.select(F.col("doc_id").alias("rep"), "high", "low")
-    sets = materialize(sets.join(digests, ["rep", "high", "low"], "left_semi").dropDuplicates(["rep"]).select("rep", "elements"))
+    sets = materialize(sets.join(digests, ["rep", "high", "low"], "left_semi").dropDuplicates(["rep"]).select("rep", "elements", "parity"))
     close = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
     close = close & (sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BIT_WORDS), F.lit(0)) <= MOST_BITS)
     facts = ("n_shingles", *BIT_WORDS)
@@ -196,12 +210,15 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         found = materialize(verified(pairs, sets, threshold))
         links = found if links is None else materialize(links.unionByName(found))
         labels = materialize(connected_components(sizes.select(F.col("rep").alias("id")), links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    rest = _unsettled(crowded, labels).join(lead.select("rep", "keys"), "rep")
-    left = rest.select("key", F.col("rep").alias("a"), *_named("", "_a"), F.col("component").alias("c_a"), F.col("keys").alias("k_a"))
-    right = rest.select("key", F.col("rep").alias("b"), *_named("", "_b"), F.col("component").alias("c_b"), F.col("keys").alias("k_b"))
+    rest = _unsettled(crowded, labels).join(lead.select("rep", "keys"), "rep").join(sets.select("rep", "parity"), "rep")
+    left = rest.select("key", F.col("rep").alias("a"), *_named("", "_a"), F.col("component").alias("c_a"), F.col("keys").alias("k_a"), F.col("parity").alias("p_a"))
+    right = rest.select("key", F.col("rep").alias("b"), *_named("", "_b"), F.col("component").alias("c_b"), F.col("keys").alias("k_b"), F.col("parity").alias("p_b"))
+    # Sets of x and y shingles that reach the threshold t % differ in at most (100 - t) * (x + y) / (100 + t) of them.
+    differ = sum((F.bit_count(F.get("p_a", F.lit(i)).bitwiseXOR(F.get("p_b", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    alike = (100 + threshold) * differ <= (100 - threshold) * (F.col("n_a") + F.col("n_b"))
     # A pair that meets in several bands counts in the first.
     met = F.filter(F.zip_with("k_a", "k_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    pairs = left.join(right, "key").where("a < b AND c_a <> c_b").where(close).where(F.get(met, F.lit(0)) == F.col("key")).select("a", "b").distinct()
+    pairs = left.join(right, "key").where("a < b AND c_a <> c_b").where(close).where(alike).where(F.get(met, F.lit(0)) == F.col("key")).select("a", "b").distinct()
     found = materialize(verified(pairs, sets, threshold))
     # The last links join components of the star rounds.
     of = labels.withColumnsRenamed({"id": "a", "component": "src"})
