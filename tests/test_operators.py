@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.expressions import average_degree, jaccard, log_edges, parse_thresholds, strip, value_type
 from weftgraph.operators import bipartite, centrality, communities, compare, contracts, interactions, neighbours, projection, tags
 from weftgraph.operators.components import connected_components
+from weftgraph.plans import audit, taxonomy
 from weftgraph.sources import files
 from weftgraph.streaming import ingest
 
@@ -145,3 +146,43 @@ def test_stream(spark, tmp_path):
     rows = ingest.interactions_stream(spark, f"{tmp_path}/in", "user_id long, app_id long, ts timestamp")
     ingest.start(rows, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_component_sweep_without_edges_and_with_ties(spark):
+    nodes = spark.range(4)
+    edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.25), (0, 2, 0.25)], "src long, dst long, weight double")
+    got = {r["threshold"]: (r["n_components"], r["giant"], r["n_single"]) for r in projection.component_sweep(edges, nodes, [0.0, 0.25, 0.5, 0.75]).collect()}
+    assert got == {0.0: (2, 3, 1), 0.25: (2, 3, 1), 0.5: (3, 2, 2), 0.75: (4, 1, 4)}
+    assert projection.component_sweep(edges.limit(0), nodes, [0.5]).first()["n_components"] == 4
+
+
+def test_summary_of_nothing_is_zero(spark):
+    row = compare.summary(spark.createDataFrame([], "x double"), "x").first()
+    assert row.asDict() == {"n": 0, "min": 0.0, "max": 0.0, "avg": 0.0, "q25": 0.0, "median": 0.0, "q75": 0.0}
+
+
+def test_taxonomy_has_to_cover_the_tags(spark):
+    freq = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2)], "tag string, freq long")
+    known = spark.createDataFrame([("a", 1, "x"), ("b", 3, "y"), ("c", 4, "z")], "tag string, category_id int, category string")
+    got = {r["tag"]: r["suggestion"] for r in taxonomy.suggest(taxonomy.classify(freq, known), [1, 2], [3], ["b", "c"]).collect()}
+    assert got == {"a": "keep", "b": "keep_optional", "c": "remove"}
+    with pytest.raises(contracts.ContractError):
+        taxonomy.classify(freq, known.where("tag <> 'c'"))
+
+
+def test_set_overlap_counts_ids_once(spark):
+    one = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    two = spark.createDataFrame([(2,), (3,)], "k long")
+    got = {(r["in_a"], r["in_b"]): r["n"] for r in audit.set_overlap({"a": one, "b": two}, "k").collect()}
+    assert got == {(True, False): 1, (True, True): 1, (False, True): 1}
+
+
+def test_checked_csv_and_guarded_graphml(spark, tmp_path):
+    pairs = spark.createDataFrame([(2, 10), (1, 10), (1, 11)], "user_id long, app_id long")
+    assert files.write_checked_csv(pairs, str(tmp_path / "c"), "user_id", "app_id") == 3
+    with pytest.raises(contracts.ContractError):
+        files.write_graphml_within(pairs, "user_id", "app_id", str(tmp_path / "g"), most_bytes=10)
+    assert files.write_graphml_within(pairs, "user_id", "app_id", str(tmp_path / "g"), most_bytes=10, force=True) > 10
+    assert files.read_graphml_edges(spark, str(tmp_path / "g")).count() == 3
+    (tmp_path / "s.json").write_text(files.stats_json(spark.sql("SELECT 1 AS n, 'é' AS t")))
+    assert files.read_stats(spark, str(tmp_path / "s.json")).first().asDict() == {"n": 1, "t": "é"}

@@ -44,6 +44,14 @@ def quantiles(rows: DataFrame, x: str, at: tuple[float, ...] = (0.25, 0.5, 0.75,
     return rows.agg(q.alias("q")).select(*[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(names)])
 
 
+def summary(rows: DataFrame, x: str) -> DataFrame:
+    """n, least, largest, mean and quartiles of a column; zeros where it is empty."""
+    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    found = rows.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("avg"), q.alias("q"))
+    values = [F.col("min"), F.col("max"), F.col("avg"), F.col("q")[0], F.col("q")[1], F.col("q")[2]]
+    return found.select("n", *[F.coalesce(F.round(v, 6), F.lit(0.0)).alias(name) for v, name in zip(values, ("min", "max", "avg", "q25", "median", "q75"), strict=True)])
+
+
 def reservoir(rows: DataFrame, order: list[str], value: str, k: int) -> DataFrame:
     """(slot, value) of the deterministic reservoir of size k: row number `seen` of the order goes to slot seen - 1, or beyond k to its hashed slot.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.expressions import average_degree, choose2, density, jaccard, percent
+from weftgraph.functions.expressions import average_degree, choose2, density, jaccard, percent, ratio
 from weftgraph.operators.components import connected_components
+from weftgraph.session import materialize
 
 
 def estimate(pairs: DataFrame, hub: str = "user_id") -> DataFrame:
@@ -69,6 +70,38 @@ def sweep(edges: DataFrame, universe: DataFrame, thresholds: list[float]) -> Dat
     return rows.select("threshold", e.alias("n_edges"), (F.col("n_nodes") - F.coalesce("touched", F.lit(0))).alias("n_isolated"), percent(e, F.greatest("base", F.lit(1)), 4).alias("retained_pct"), average_degree(F.col("n_nodes"), e).alias("avg_degree"))
 
 
+def component_sweep(edges: DataFrame, universe: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Per threshold: components, size of the largest, components of one item.
+
+    From the highest threshold down, the components found so far are the vertices of the next
+    level, which only adds the edges between the two thresholds: each edge is used once in all.
+    """
+    labels = universe.select("id", F.col("id").alias("component"))
+    out, above = None, None
+    for threshold in sorted(set(thresholds), reverse=True):
+        band = edges.where(F.col("weight") >= threshold)
+        band = band if above is None else band.where(F.col("weight") < above)
+        ends = band.select("src", "dst").join(labels.withColumnsRenamed({"id": "src", "component": "a"}), "src").join(labels.withColumnsRenamed({"id": "dst", "component": "b"}), "dst")
+        links = ends.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        merged = connected_components(labels.select(F.col("component").alias("id")).distinct(), links).withColumnsRenamed({"id": "_was", "component": "_now"})
+        labels = materialize(labels.join(merged, F.col("component") == F.col("_was")).select("id", F.col("_now").alias("component")))
+        sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+        row = sizes.agg(F.lit(float(threshold)).alias("threshold"), F.count("*").alias("n_components"), F.max("n").alias("giant"), F.count_if(F.col("n") == 1).alias("n_single"))
+        out = row if out is None else out.unionByName(row)
+        above = threshold
+    if out is None:
+        raise ValueError("no thresholds")
+    return out
+
+
+def weight_stats(edges: DataFrame) -> DataFrame:
+    """One row: nodes with an edge, edges, degree, and least, largest and mean weight (on millionths, so that order doesn't matter)."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).agg(F.countDistinct("id").alias("n_nodes"))
+    millionths = F.round(F.col("weight") * 1_000_000).cast("long")
+    rows = edges.agg(F.count("*").alias("n_edges"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"), F.sum(millionths).alias("_s")).crossJoin(F.broadcast(nodes))
+    return rows.select("n_nodes", "n_edges", average_degree(F.col("n_nodes"), F.col("n_edges")).alias("avg_degree"), "min_weight", "max_weight", (ratio(F.col("_s"), F.col("n_edges"), 0) / 1_000_000.0).alias("avg_weight"))
+
+
 def threshold_filter(edges: DataFrame, threshold: float) -> DataFrame:
     """Edges whose rounded weight reaches the threshold, with every column."""
     return edges.where(F.col("weight") >= threshold)

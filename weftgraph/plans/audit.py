@@ -1,11 +1,11 @@
-"""Profiles of raw tables: nulls, types, buckets, nearest-rank percentiles."""
+"""Profiles of raw tables: nulls, types, buckets, nearest-rank percentiles, overlaps of id sets, bounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.expressions import value_type
+from weftgraph.functions.expressions import choose2, value_type
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -30,3 +30,27 @@ def nearest_rank(pairs: DataFrame, key: str, at: tuple[float, ...] = (0.5, 0.9,
     """Percentiles of the counts by key that are values which occur."""
     ordered = [F.expr(f"percentile_disc({a}) WITHIN GROUP (ORDER BY n)").cast("long").alias(f"p{round(a * 100)}") for a in at]
     return pairs.groupBy(key).agg(F.count("*").alias("n")).agg(*ordered)
+
+
+def set_overlap(sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """Per combination of sets, the ids that are in exactly these: (in_<name>..., n). One shuffle, whatever the number of sets."""
+    rows = None
+    for name, df in sets.items():
+        one = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *[F.lit(other == name).alias(f"in_{other}") for other in sets])
+        rows = one if rows is None else rows.unionByName(one)
+    flags = [f"in_{name}" for name in sets]
+    return rows.groupBy("id").agg(*[F.bool_or(f).alias(f) for f in flags]).groupBy(*flags).agg(F.count("*").alias("n"))
+
+
+def size_buckets(items: DataFrame, column: str) -> DataFrame:
+    """How many arrays hold 0, 1-2, 3-5, 6-10 or more entries; null arrays aren't counted."""
+    n = F.size(column)
+    cases = (("n_0", n == 0), ("n_1_2", n.between(1, 2)), ("n_3_5", n.between(3, 5)), ("n_6_10", n.between(6, 10)), ("n_gt_10", n > 10))
+    return items.where(F.col(column).isNotNull()).agg(*[F.count_if(c).alias(name) for name, c in cases])
+
+
+def bounds(pairs: DataFrame, user: str = "user_id", item: str = "app_id") -> DataFrame:
+    """Upper bounds of a projection on items: all pairs of items, and the pairs that users induce."""
+    users = pairs.groupBy(user).agg(F.count("*").alias("n")).agg(F.sum(choose2(F.col("n"))).alias("user_induced_pairs"))
+    items = pairs.agg(F.countDistinct(item).alias("n_items"))
+    return items.crossJoin(F.broadcast(users)).select("n_items", choose2(F.col("n_items")).alias("all_pairs"), "user_induced_pairs")

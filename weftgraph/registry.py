@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import bipartite, centrality, communities, compare, interactions, neighbours, projection, tags
 from weftgraph.operators.components import connected_components
-from weftgraph.plans import audit
+from weftgraph.plans import audit, taxonomy
 from weftgraph.session import materialize, table
 
 CORE = (2, 30, 24)
@@ -492,3 +492,123 @@ def audit_buckets(spark, sf):
 @query(f"WITH {UF}, d AS (SELECT count(*) AS n FROM uf GROUP BY app_id) SELECT " + ", ".join(f"quantile_disc(n, {a}) AS p{round(a * 100)}" for a in (0.5, 0.9, 0.99)) + " FROM d")
 def audit_nearest_rank(spark, sf):
     return audit.nearest_rank(users_items(spark, sf), "app_id")
+
+
+@query(
+    f"WITH {UF}, {TAG_RAW}, x AS (SELECT app_id AS id, 1 AS k FROM uf UNION ALL SELECT p_partkey, 2 FROM part UNION ALL SELECT app_id, 3 FROM tclean), "
+    "m AS (SELECT id, bool_or(k = 1) AS in_interactions, bool_or(k = 2) AS in_catalogue, bool_or(k = 3) AS in_tags FROM x GROUP BY 1) SELECT in_interactions, in_catalogue, in_tags, count(*) AS n FROM m GROUP BY ALL"
+)
+def audit_entity_overlap(spark, sf):
+    catalogue = table(spark, sf, "part").select(F.col("p_partkey").alias("app_id"))
+    return audit.set_overlap({"interactions": users_items(spark, sf), "catalogue": catalogue, "tags": tags.clean(items(spark, sf), TAGS)}, "app_id")
+
+
+@query(
+    "WITH x AS (SELECT l_orderkey AS id, 1 AS k FROM lineitem UNION ALL SELECT o_orderkey, 2 FROM orders), m AS (SELECT id, bool_or(k = 1) AS in_interactions, bool_or(k = 2) AS in_users FROM x WHERE id IS NOT NULL GROUP BY 1) "
+    "SELECT in_interactions, in_users, count(*) AS n FROM m GROUP BY ALL"
+)
+def audit_user_overlap(spark, sf):
+    return audit.set_overlap({"interactions": raw(spark, sf), "users": table(spark, sf, "orders").select(F.col("o_orderkey").alias("user_id"))}, "user_id")
+
+
+@query(
+    "WITH x AS (SELECT length(string_split(p_name, ' ')) + 3 AS n FROM part WHERE p_name IS NOT NULL) SELECT "
+    + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in (("n_0", "n = 0"), ("n_1_2", "n BETWEEN 1 AND 2"), ("n_3_5", "n BETWEEN 3 AND 5"), ("n_6_10", "n BETWEEN 6 AND 10"), ("n_gt_10", "n > 10")))
+    + " FROM x"
+)
+def audit_tag_counts(spark, sf):
+    return audit.size_buckets(items(spark, sf), "tags")
+
+
+@query(f"WITH {UF}, d AS (SELECT count(*) AS n FROM uf GROUP BY user_id), i AS (SELECT count(DISTINCT app_id) AS n_items FROM uf) SELECT n_items, n_items * (n_items - 1) // 2 AS all_pairs, (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM d) AS user_induced_pairs FROM i")
+def projection_bounds(spark, sf):
+    return audit.bounds(users_items(spark, sf))
+
+
+# Reports --------------------------------------------------------------------
+
+CATEGORIES = {1: "name", 3: "kind", 4: "brand", 5: "size"}
+OF_TAG = "CASE WHEN tag LIKE 'size:%' THEN 5 WHEN tag LIKE 'Brand%' THEN 4 WHEN substr(tag, 1, 1) BETWEEN 'A' AND 'Z' THEN 3 ELSE 1 END"
+LABEL = "CASE " + " ".join(f"WHEN category_id = {k} THEN '{v}'" for k, v in CATEGORIES.items()) + " END"
+TAXONOMY = TAG_RAW + f", cl0 AS (SELECT tag, count(*) AS freq, {OF_TAG} AS category_id FROM tnorm GROUP BY tag), cl AS (SELECT tag, freq, category_id, {LABEL} AS category FROM cl0)"
+
+
+def _classified(spark, sf) -> DataFrame:
+    freq = tags.frequencies(tags.normalize(tags.explode_tags(items(spark, sf)), TAGS))
+    categories = freq.select("tag", F.expr(OF_TAG).alias("category_id")).withColumn("category", F.expr(LABEL))
+    return taxonomy.classify(freq, categories)
+
+
+@query(f"WITH {TAXONOMY} SELECT *, CASE WHEN category_id = 1 THEN 'keep' WHEN category_id = 3 AND tag IN ('STANDARD', 'SMALL', 'PROMO') THEN 'keep_optional' ELSE 'remove' END AS suggestion FROM cl")
+def tag_taxonomy(spark, sf):
+    return taxonomy.suggest(_classified(spark, sf), core=[1, 2], optional=[3], wanted=["STANDARD", "SMALL", "PROMO"])
+
+
+@query(f"WITH {TAXONOMY} SELECT category_id, category, count(*) AS n_tags, CAST(sum(freq) AS BIGINT) AS freq_total FROM cl GROUP BY ALL")
+def tag_category_summary(spark, sf):
+    return taxonomy.category_summary(_classified(spark, sf))
+
+
+@query(f"WITH {TAG_RAW} SELECT tag, freq FROM tfreq ORDER BY freq DESC, tag LIMIT 30")
+def top_tags(spark, sf):
+    pairs = tags.normalize(tags.explode_tags(items(spark, sf)), TAGS)
+    return tags.verdicts(pairs, TAGS).select("tag", "freq").orderBy(F.desc("freq"), "tag").limit(30)
+
+
+@query(f"WITH {UF} SELECT app_id, count(*) AS n_users FROM uf GROUP BY 1 ORDER BY n_users DESC, app_id LIMIT 10")
+def top_items(spark, sf):
+    return users_items(spark, sf).groupBy("app_id").agg(F.count("*").alias("n_users")).orderBy(F.desc("n_users"), "app_id").limit(10)
+
+
+@query(
+    f"WITH RECURSIVE {G}, {UNI}, th AS (SELECT CAST(unnest({THRESHOLDS}) AS DOUBLE) AS threshold), wy AS (SELECT src AS id, dst AS other, weight FROM g UNION ALL SELECT dst, src, weight FROM g), "
+    "rt AS (SELECT threshold, id, id AS label FROM th, uni UNION SELECT rt.threshold, wy.other, rt.label FROM rt JOIN wy ON wy.id = rt.id WHERE rt.label < wy.other AND wy.weight >= rt.threshold), "
+    "cp AS (SELECT threshold, id, min(label) AS c FROM rt GROUP BY ALL), sz AS (SELECT threshold, c, count(*) AS n FROM cp GROUP BY ALL) SELECT threshold, count(*) AS n_components, max(n) AS giant, count(*) FILTER (WHERE n = 1) AS n_single FROM sz GROUP BY 1"
+)
+def component_sweep(spark, sf):
+    return projection.component_sweep(materialize(graph(spark, sf)), universe(spark, sf), THRESHOLDS)
+
+
+def _weight_stats_sql(edges: str) -> str:
+    return (
+        f"SELECT (SELECT count(*) FROM (SELECT src FROM {edges} UNION SELECT dst FROM {edges})) AS n_nodes, n_edges, {r('2 * n_edges', '(SELECT count(*) FROM (SELECT src FROM ' + edges + ' UNION SELECT dst FROM ' + edges + '))', 4)} AS avg_degree, min_weight, max_weight, {r('s', 'n_edges', 0)} / 1000000 AS avg_weight "
+        f"FROM (SELECT count(*) AS n_edges, min(weight) AS min_weight, max(weight) AS max_weight, CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS BIGINT) AS s FROM {edges})"
+    )
+
+
+@query(f"WITH {G} {_weight_stats_sql('g')}")
+def projection_stats(spark, sf):
+    return projection.weight_stats(graph(spark, sf))
+
+
+@query(f"WITH {KNN}, kg AS (SELECT src, dst, weight FROM f JOIN votes USING (src, dst)) {_weight_stats_sql('kg')}")
+def knn_graph_stats(spark, sf):
+    return projection.weight_stats(neighbours.knn_graph(final_graph(spark, sf), K))
+
+
+@query(
+    f"WITH {G}, o AS (SELECT weight AS value, row_number() OVER (ORDER BY src, dst) AS seen FROM g), s AS (SELECT value, seen, CASE WHEN seen <= 500 THEN seen - 1 ELSE ((seen * 1103515245 + 12345) & 2147483647) % seen END AS slot FROM o), "
+    "v AS (SELECT slot, arg_max(value, seen) AS value FROM s WHERE slot < 500 GROUP BY 1) SELECT " + ", ".join(f"round(quantile_cont(value, {a}), 9) AS q{n}" for a, n in ((0.25, 25), (0.5, 50), (0.75, 75), (0.9, 90), (0.99, 99))) + " FROM v"
+)
+def weight_quantiles_sampled(spark, sf):
+    return compare.quantiles(compare.reservoir(graph(spark, sf), ["src", "dst"], "weight", 500), "value")
+
+
+@query(
+    f"WITH {SHARED} SELECT count(w_right) AS n, "
+    + ", ".join(f"coalesce(round({e}, 6), 0.0)::DOUBLE AS {n}" for n, e in (("min", "min(w_right)"), ("max", "max(w_right)"), ("avg", "avg(w_right)"), ("q25", "quantile_cont(w_right, 0.25)"), ("median", "quantile_cont(w_right, 0.5)"), ("q75", "quantile_cont(w_right, 0.75)")))
+    + " FROM sh"
+)
+def shared_weight_summary(spark, sf):
+    return compare.summary(compare.shared_edges(tag_graph(spark, sf), graph(spark, sf)), "w_right")
+
+
+@query(
+    f"WITH {STRENGTH}, dg AS (SELECT uni.id, CAST(count(other) AS DOUBLE) AS score FROM uni LEFT JOIN ways ON ways.id = uni.id GROUP BY 1), "
+    "k AS (SELECT rank() OVER (ORDER BY st.score) + (count(*) OVER (PARTITION BY st.score) - 1) / 2.0 AS a, rank() OVER (ORDER BY dg.score) + (count(*) OVER (PARTITION BY dg.score) - 1) / 2.0 AS b FROM st JOIN dg USING (id)) "
+    "SELECT count(*) AS n, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN round(corr(a, b), 6) END AS spearman FROM k"
+)
+def centrality_spearman(spark, sf):
+    edges, nodes = final_graph(spark, sf), universe(spark, sf)
+    degree = projection.degrees(edges, nodes).select("id", F.col("degree").cast("double").alias("other"))
+    return compare.spearman(materialize(neighbours.strength(edges, nodes).join(degree, "id")), "score", "other")

@@ -7,8 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.bipartite import HEAD, TAIL, graphml_lines
-from weftgraph.operators.contracts import exact_columns, required_columns
+from weftgraph.operators.bipartite import HEAD, TAIL, graphml_lines, graphml_size
+from weftgraph.operators.contracts import ContractError, exact_columns, required_columns
+from weftgraph.session import materialize
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, exact: bool = False) -> DataFrame:
@@ -37,6 +38,31 @@ def write_csv(df: DataFrame, path: str, *order: str) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_checked_csv(df: DataFrame, path: str, *order: str) -> int:
+    """`write_csv`, then the files are read back: columns, types and number of rows have to be those of `df`. Returns the rows."""
+    rows = materialize(df)
+    write_csv(rows, path, *order)
+    back = read_csv(df.sparkSession, path, rows.schema.simpleString()[7:-1].replace(":", " "), exact=True)
+    written, expected = back.count(), rows.count()
+    if written != expected:
+        raise ContractError(f"{written} rows were written of {expected}")
+    return written
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document of statistics as one row."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def write_graphml_within(pairs: DataFrame, left: str, right: str, path: str, most_bytes: int = 1 << 30, force: bool = False) -> int:
+    """`write_graphml` if the file has at most `most_bytes`, or by force; its size is worked out before anything is written."""
+    size = graphml_size(pairs, left, right).first()["n_bytes"]
+    if size > most_bytes and not force:
+        raise ContractError(f"the file would have {size} bytes, more than {most_bytes}")
+    write_graphml(pairs, left, right, path)
+    return size
+
+
 def write_graphml(pairs: DataFrame, left: str, right: str, path: str) -> None:
     """Text parts that, joined in order of their names, are one GraphML file."""
     spark = pairs.sparkSession
