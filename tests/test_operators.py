@@ -186,3 +186,15 @@ def test_checked_csv_and_guarded_graphml(spark, tmp_path):
     assert files.read_graphml_edges(spark, str(tmp_path / "g")).count() == 3
     (tmp_path / "s.json").write_text(files.stats_json(spark.sql("SELECT 1 AS n, 'é' AS t")))
     assert files.read_stats(spark, str(tmp_path / "s.json")).first().asDict() == {"n": 1, "t": "é"}
+
+
+def test_tag_invariants(spark):
+    rows = [(i, ["a", "b" if i < 5 else "bb", "x"]) for i in range(10)] + [(99, None)]
+    config = tags.TagConfig(min_freq=2, max_ratio=0.6, rename={"bb": "b"}, blacklist=("x",), protected=("b",))
+    frame = spark.createDataFrame(rows, "app_id long, tags array<string>")
+    assert {r["tag"] for r in tags.check_clean(frame, config).collect()} == {"b"}
+    got = {r["tag"]: (r["raw_freq"], r["normalized_freq"], r["final_freq"]) for r in tags.stage_frequencies(frame, config).collect()}
+    assert got == {"a": (10, 10, 0), "b": (5, 10, 10), "bb": (5, 0, 0), "x": (10, 10, 0)}
+    pairs = tags.normalize(tags.explode_tags(frame), config)
+    assert [(r["tag"], r["share"], r["reason"]) for r in tags.removed(pairs, config).collect()] == [("a", 1.0, "too_frequent")]
+    assert [r["tag"] for r in tags.spared(pairs, config).collect()] == ["b"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.expressions import choose2, percent, ratio
@@ -56,6 +56,17 @@ def stats(pairs: DataFrame) -> DataFrame:
     return both.withColumn("avg_items_per_user", ratio(F.col("n_edges"), F.col("n_users"), 4)).withColumn("avg_users_per_item", ratio(F.col("n_edges"), F.col("n_items"), 4))
 
 
+def funnel(stages: dict[str, DataFrame]) -> DataFrame:
+    """Per stage, in order of their names: users, items and edges, and the share of the first stage's edges."""
+    rows = None
+    for name, pairs in stages.items():
+        one = pairs.agg(F.lit(name).alias("stage"), F.countDistinct("user_id").alias("n_users"), F.countDistinct("app_id").alias("n_items"), F.count("*").alias("n_edges"))
+        rows = one if rows is None else rows.unionByName(one)
+    # A row a stage: the window sees no more than these.
+    base = F.first("n_edges").over(Window.orderBy("stage"))
+    return rows.withColumn("pct_edges", percent(F.col("n_edges"), base))
+
+
 def sensitivity_grid(pairs: DataFrame, max_users: list[int], min_items: list[int]) -> DataFrame:
     """Sizes for each (max_user, min_item): users by base degree, then one pass over items, without iteration.
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.expressions import percent, strip
+from weftgraph.functions.expressions import percent, ratio, strip
+from weftgraph.operators.contracts import holds
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,41 @@ def funnel(items: DataFrame, config: TagConfig) -> DataFrame:
     return out.select("stage", "n_pairs", "n_items", "n_tags")
 
 
+def stage_frequencies(items: DataFrame, config: TagConfig) -> DataFrame:
+    """Per tag its frequency raw, after renaming and after all filters, repeats within an item counted; one scan, 0 where it doesn't occur."""
+    pairs = normalize(explode_tags(items), config)
+    good = verdicts(pairs, config).select("tag", (~F.col("too_frequent") & ~F.col("rare")).alias("final"))
+    both = F.explode(F.array(F.struct(F.col("tag_original").alias("tag"), F.lit(1).alias("raw"), F.lit(0).alias("renamed")), F.struct(F.col("tag"), F.lit(0).alias("raw"), F.lit(1).alias("renamed")))).alias("x")
+    counts = pairs.select(both).groupBy("x.tag").agg(F.sum("x.raw").alias("raw_freq"), F.sum("x.renamed").alias("normalized_freq"))
+    final = F.when(F.col("final"), F.col("normalized_freq")).otherwise(0).alias("final_freq")
+    return counts.join(good, "tag", "left").select("tag", "raw_freq", "normalized_freq", final)
+
+
+def removed(pairs: DataFrame, config: TagConfig) -> DataFrame:
+    """Tags that the frequency filters remove, why, and their share of the items."""
+    rows = verdicts(pairs, config).where("too_frequent OR rare")
+    reason = F.when(F.col("too_frequent"), "too_frequent").otherwise("rare").alias("reason")
+    return rows.select("tag", "freq", ratio(F.col("freq"), F.col("n_items"), 4).alias("share"), reason)
+
+
+def spared(pairs: DataFrame, config: TagConfig) -> DataFrame:
+    """Protected tags that a frequency filter would have removed."""
+    rows = verdicts(pairs, config).where("protected")
+    return rows.where((F.col("freq") < config.min_freq) | (F.col("freq") > F.col("n_items") * F.lit(config.max_ratio))).select("tag", "freq")
+
+
+def check_clean(items: DataFrame, config: TagConfig) -> DataFrame:
+    """`clean`, after its invariants were checked: no blacklisted tag, and unprotected ones within both frequency bounds."""
+    pairs = normalize(explode_tags(items), config)
+    kept = clean(items, config)
+    if config.blacklist:
+        holds(kept, ~F.col("tag").isin(*config.blacklist), "blacklisted tag")
+    rows = verdicts(pairs, config).join(kept.select("tag").distinct(), "tag", "left_semi")
+    within = (F.col("freq") >= config.min_freq) & (F.col("freq") <= F.col("n_items") * F.lit(config.max_ratio))
+    holds(rows, F.col("protected") | within, "frequency outside the bounds")
+    return kept
+
+
 def renamed(pairs: DataFrame) -> DataFrame:
     """How often each tag was renamed to which."""
     return pairs.where("tag_original <> tag").groupBy("tag_original", "tag").agg(F.count("*").alias("freq"))

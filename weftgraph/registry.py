@@ -612,3 +612,31 @@ def centrality_spearman(spark, sf):
     edges, nodes = final_graph(spark, sf), universe(spark, sf)
     degree = projection.degrees(edges, nodes).select("id", F.col("degree").cast("double").alias("other"))
     return compare.spearman(materialize(neighbours.strength(edges, nodes).join(degree, "id")), "score", "other")
+
+
+@query(
+    f"WITH {TAG_RAW}, a AS (SELECT tag_original AS tag, 1 AS x, 0 AS y FROM tnorm UNION ALL SELECT tag, 0, 1 FROM tnorm), b AS (SELECT tag, CAST(sum(x) AS BIGINT) AS raw_freq, CAST(sum(y) AS BIGINT) AS normalized_freq FROM a GROUP BY 1) "
+    "SELECT b.tag, raw_freq, normalized_freq, CASE WHEN NOT too_frequent AND NOT rare THEN normalized_freq ELSE 0 END AS final_freq FROM b LEFT JOIN tfreq USING (tag)"
+)
+def tag_stage_frequencies(spark, sf):
+    return tags.stage_frequencies(items(spark, sf), TAGS)
+
+
+@query(f"WITH {TAG_RAW} SELECT tag, freq, {r('freq', 'n_items', 4)} AS share, CASE WHEN too_frequent THEN 'too_frequent' ELSE 'rare' END AS reason FROM tfreq WHERE too_frequent OR rare")
+def tags_removed(spark, sf):
+    return tags.removed(tags.normalize(tags.explode_tags(items(spark, sf)), TAGS), TAGS)
+
+
+@query(f"WITH {TAG_RAW} SELECT tag, freq FROM tfreq WHERE protected AND (freq < 50 OR freq > n_items * 0.15)")
+def tags_spared(spark, sf):
+    return tags.spared(tags.normalize(tags.explode_tags(items(spark, sf)), TAGS), TAGS)
+
+
+@query(
+    f"WITH {core_sql()}, base AS (SELECT * FROM inter WHERE user_id IN (SELECT user_id FROM inter GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100)), "
+    "x AS (SELECT '1_distinct' AS stage, * FROM inter UNION ALL SELECT '2_base', * FROM base UNION ALL SELECT '3_core', * FROM e8), y AS (SELECT stage, count(DISTINCT user_id) AS n_users, count(DISTINCT app_id) AS n_items, count(*) AS n_edges FROM x GROUP BY 1) "
+    f"SELECT *, {r('100 * n_edges', '(SELECT count(*) FROM inter)', 2)} AS pct_edges FROM y"
+)
+def interaction_funnel(spark, sf):
+    pairs = materialize(interactions.dedupe(raw(spark, sf)))
+    return interactions.funnel({"1_distinct": pairs, "2_base": interactions.user_degree_filter(pairs, 2, 100), "3_core": interactions.core_prune(pairs, *CORE)[0]})
