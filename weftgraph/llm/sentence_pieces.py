@@ -16,7 +16,7 @@ SPACE = "▁"
 #: Encoded words that a worker remembers before it starts afresh.
 MEMO = 200_000
 #: Characters of one flat array of words.
-FLAT = 1 << 20
+FLAT = 1 << 18
 
 
 class PieceTable:
@@ -175,8 +175,10 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = _encoder(shared, key)
         found = encoder.encode_texts([b.decode("utf-8", "replace") for b in batch.column("body").to_pylist()])
-        ids = [[int(x) for x in f[1].split(b",") if x] for f in found]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([f[2].decode("utf-8", "replace") for f in found], pa.string())], ["doc_id", "ids", "decoded"])
+        ends = np.cumsum([0] + [f[0] for f in found], dtype=np.int32)
+        flat = np.fromstring(b",".join(f[1] for f in found if f[0]), dtype=np.int32, sep=",")
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([f[2].decode("utf-8", "replace") for f in found], pa.string())], ["doc_id", "ids", "decoded"])
 
     return map_texts(text_bytes(docs), run, "doc_id long, ids array<int>, decoded string")
 
