@@ -63,3 +63,16 @@ def weighted_graph(edges: DataFrame, universe: DataFrame) -> DataFrame:
     unique(edges, "src", "dst")
     contained(edges, "src", universe)
     return contained(edges, "dst", universe)
+
+
+def one_name(names: DataFrame, key: str = "app_id", name: str = "name") -> DataFrame:
+    """No key with two different names; a missing name conflicts with none."""
+    bad = names.groupBy(key).agg(F.min(name).alias("_lo"), F.max(name).alias("_hi")).where("_lo <> _hi").limit(1).collect()
+    if bad:
+        raise ContractError(f"conflicting names: {bad[0]}")
+    return names
+
+
+def bipartite(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """Every edge of (source, target) leads from a node `left:...` to a node `right:...`."""
+    return holds(edges, F.col("source").startswith(f"{left}:") & F.col("target").startswith(f"{right}:"), f"edge not from {left} to {right}")

@@ -22,20 +22,29 @@ def guard(pairs: DataFrame, hub: str, most: int) -> None:
         raise ValueError(f"the projection would make {found} pairs, more than {most}")
 
 
-def project_pairs(pairs: DataFrame, hub: str = "user_id", item: str = "app_id") -> DataFrame:
-    """(src < dst, shared, weight): hubs two items share, and their Jaccard similarity.
-
-    Items are counted over all their hubs, those with one item included. The pair join and the
-    partial counts run in one stage on hub; hot hubs are split by adaptive skew joins.
-    """
+def count_pairs(pairs: DataFrame, hub: str = "user_id", item: str = "app_id") -> DataFrame:
+    """(src < dst, shared): hubs that two items share. The pair join and the partial counts run in one stage on hub; hot hubs are split by adaptive skew joins."""
     left = pairs.select(F.col(hub).alias("h"), F.col(item).alias("src"))
     right = pairs.select(F.col(hub).alias("h"), F.col(item).alias("dst"))
-    shared = left.join(right, "h").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
-    counts = pairs.groupBy(F.col(item).alias("id")).agg(F.count("*").alias("n"))
+    return left.join(right, "h").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
+
+
+def count_items(pairs: DataFrame, item: str = "app_id") -> DataFrame:
+    """(id, n): hubs of each item, those with one item included."""
+    return pairs.groupBy(F.col(item).alias("id")).agg(F.count("*").alias("n"))
+
+
+def edges_from_counts(shared: DataFrame, counts: DataFrame) -> DataFrame:
+    """(src, dst, shared, weight) from the counts of pairs and items."""
     rows = shared.join(counts.withColumnsRenamed({"id": "src", "n": "n_src"}), "src").join(counts.withColumnsRenamed({"id": "dst", "n": "n_dst"}), "dst")
     return rows.select("src", "dst", "shared", jaccard(F.col("shared"), F.col("n_src"), F.col("n_dst")).alias("weight"))
 
 
+def project_pairs(pairs: DataFrame, hub: str = "user_id", item: str = "app_id") -> DataFrame:
+    """(src < dst, shared, weight): hubs two items share, and their Jaccard similarity."""
+    return edges_from_counts(count_pairs(pairs, hub, item), count_items(pairs, item))
+
+
 def degrees(edges: DataFrame, universe: DataFrame) -> DataFrame:
     """(id, degree) for every id of the universe, 0 included."""
     ends = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))

@@ -6,6 +6,7 @@ item are the words of its name, its brand, its type and its size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from weftgraph.operators import bipartite, centrality, communities, compare, interactions, neighbours, projection, tags
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import audit, taxonomy
-from weftgraph.session import materialize, table
+from weftgraph.session import materialize, shared_dir, table
+from weftgraph.sources import aggregates
 
 CORE = (2, 30, 24)
 TAGS = tags.TagConfig(min_freq=50, max_ratio=0.15, rename={"size:1": "size:small", "size:2": "size:small"}, blacklist=("size:50",), protected=("size:small",))
@@ -290,6 +292,26 @@ def project_user_item(spark, sf):
     return graph(spark, sf)
 
 
+@query(f"WITH {UF} SELECT a.app_id AS src, b.app_id AS dst, count(*) AS shared FROM uf a JOIN uf b ON a.user_id = b.user_id AND a.app_id < b.app_id GROUP BY ALL")
+def pair_counts(spark, sf):
+    return projection.count_pairs(users_items(spark, sf))
+
+
+@query(f"WITH {UF} SELECT app_id AS id, count(*) AS n FROM uf GROUP BY 1")
+def item_counts(spark, sf):
+    return projection.count_items(users_items(spark, sf))
+
+
+@query(f"WITH {G} SELECT * FROM g")
+def project_from_stores(spark, sf):
+    """Aggregates of two halves of the users are stored, reopened and added."""
+    pairs = materialize(users_items(spark, sf))
+    stores = [f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}" for _ in range(2)]
+    for half, path in enumerate(stores):
+        aggregates.save(pairs.where(F.pmod(F.xxhash64("user_id"), F.lit(2)) == half), path)
+    return aggregates.edges(spark, *stores)
+
+
 @query(f"WITH {TG} SELECT * FROM t")
 def project_item_tag(spark, sf):
     return tag_graph(spark, sf)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.bipartite import HEAD, TAIL, graphml_lines, graphml_size
 from weftgraph.operators.contracts import ContractError, exact_columns, required_columns
+from weftgraph.operators.tags import TagConfig
 from weftgraph.session import materialize
 
 
@@ -80,3 +81,16 @@ def read_graphml_edges(spark: SparkSession, path: str) -> DataFrame:
 def stats_json(row: DataFrame) -> str:
     """The one row of a statistics table as indented ASCII JSON."""
     return json.dumps(json.loads(row.select(F.to_json(F.struct("*"))).first()[0]), indent=2, ensure_ascii=True) + "\n"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header or JSON lines by the path's ending, else Parquet."""
+    if path.endswith(".csv"):
+        return read_csv(spark, path)
+    return read_metadata(spark, path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+
+
+def read_tag_config(spark: SparkSession, path: str) -> TagConfig:
+    """Settings of the tag cleaning from one JSON document with TagConfig's names; unknown names fail."""
+    found = json.loads("".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
+    return TagConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
