@@ -139,7 +139,7 @@ class Runs:
             return
         cuts = np.flatnonzero(np.concatenate(([True], self.bucket[1:] != self.bucket[:-1])))
         raw = np.frombuffer(self.buf, dtype=np.uint8)
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=5)
         for lo, hi in zip(cuts, [*cuts[1:], len(self.bucket)], strict=True):
             runs = self.sent[lo:hi]
             n = self.size[runs] + LENGTH - 1
