@@ -245,25 +245,44 @@ def scan_bucket(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _batches(sizes: np.ndarray):
+    """Ranges of runs with about BATCH_WINDOWS windows each."""
+    windows = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(windows, (windows[at - 1] if at else 0) + BATCH_WINDOWS, side="right")))
+        yield at, end
+        at = end
+
+
+def _prints(size: np.ndarray, body: np.ndarray, seed: int) -> np.ndarray:
+    """The fingerprint of every window of the runs, in the order in which their bytes lie in `body`."""
+    n = size + LENGTH - 1
+    ends, last = np.cumsum(n), np.cumsum(size)
+    out = np.empty(int(size.sum()), dtype=np.uint64)
+    for at, end in _batches(size):
+        k, s = n[at:end], size[at:end]
+        held = body[ends[at] - k[0] : ends[end - 1]].tobytes()
+        # A run's bytes are LENGTH - 1 more than its windows.
+        places = np.arange(int(s.sum())) + np.repeat(np.arange(len(s)) * (LENGTH - 1), s)
+        out[last[at] - s[0] : last[end - 1]] = fingerprint(words_at(held), places, seed)
+    return out
+
+
 def _scan(ids: np.ndarray, size: np.ndarray, body: np.ndarray, seed: int) -> np.ndarray:
     n = size + LENGTH - 1
-    offset = np.cumsum(n) - n
+    offset, first = np.cumsum(n) - n, np.cumsum(size) - size
     order = np.argsort(ids, kind="stable")
     masks = np.zeros(len(ids), dtype=np.uint64)
+    prints = _prints(size, body, seed)
     family = IndexFamily(body)
-    windows = np.cumsum(size[order])
-    at = 0
-    while at < len(order):
-        end = max(at + 1, int(np.searchsorted(windows, (windows[at - 1] if at else 0) + BATCH_WINDOWS, side="right")))
+    for at, end in _batches(size[order]):
         runs = order[at:end]
-        k, s = n[runs], size[runs]
-        held = body[np.repeat(offset[runs] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))].tobytes()
+        s = size[runs]
         inside = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
-        prints = fingerprint(words_at(held), np.repeat(np.cumsum(k) - k, s) + inside, seed)
-        removed = family.add(prints, np.repeat(offset[runs], s) + inside, np.repeat(ids[runs], s))
+        removed = family.add(prints[np.repeat(first[runs], s) + inside], np.repeat(offset[runs], s) + inside, np.repeat(ids[runs], s))
         bits = np.where(removed, np.uint64(1) << inside.astype(np.uint64), np.uint64(0))
         masks[runs] = np.bitwise_or.reduceat(bits, np.cumsum(s) - s)
-        at = end
     return masks
 
 
