@@ -458,9 +458,7 @@ def pagerank(spark, sf):
 
 @query()
 def betweenness(spark, sf):
-    edges = materialize(neighbours.knn_graph(projection.threshold_filter(final_graph(spark, sf), 0.03), K))
-    nodes = neighbours.both_ways(edges).select("id").distinct()
-    return centrality.betweenness(edges, nodes).select("id", F.round("score", 6).alias("score"))
+    return centrality.betweenness(materialize(neighbours.knn_graph(final_graph(spark, sf), K)), universe(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
 # Communities ----------------------------------------------------------------
