@@ -21,10 +21,10 @@ PATTERNS = {
 }
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 #: A term: letters between white space, before a mark of punctuation at most.
-TERM = r"(?<=\s)\p{L}{3,40}+(?=[,.;:!?]?\s)"
-EVERY_TERM = r"(?<!\S)\p{L}{3,40}+(?=[,.;:!?]?(?:\s|$))"
-#: Code points on either side of a span in which terms count as occurring with it.
-REACH = 60
+TERM = r"(?<!\S)\p{L}{3,40}+(?=[,.;:!?]?(?:\s|$))"
+
+#: Up to so many disclosing terms are broadcast; more are joined by shuffle.
+BROADCAST_TERMS = 500_000
 
 SPAN = "struct<s:int,e:int,v:string>"
 
@@ -86,31 +86,47 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """A row for each term within REACH of a base span: key, entity, term, and where the term stands."""
-    rows = found.where(F.size("spans") > 0).select("doc_id", "body_hash", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("padded"), F.explode("spans").alias("x"))
-    left_at, right_at = F.greatest(F.col("x.s") + 1 - REACH, F.lit(0)), F.col("x.e") + 1
-    sides = []
-    for at, n in ((left_at, F.col("x.s") + 1 - left_at), (right_at, F.lit(REACH))):
-        sides.append(F.struct(at.cast("int").alias("at"), F.substring(F.col("padded"), at + 1, n).alias("part")))
-    rows = rows.select("doc_id", "body_hash", F.xxhash64("x.k", F.lower("x.v")).alias("entity"), F.explode(F.array(*sides)).alias("side"))
-    rows = rows.select("doc_id", "body_hash", "entity", "side.at", F.explode(located(F.col("side.part"), TERM, F.lit(True))).alias("t"))
-    return rows.select("doc_id", "body_hash", "entity", F.lower("t.v").alias("term"), (F.col("at") + F.col("t.s") - 1).alias("s"), (F.col("at") + F.col("t.e") - 1).alias("e"))
+def terms_of(text: Column) -> Column:
+    """The distinct terms of `text`, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
+
+
+def occurrences(text: Column, terms: Column) -> Column:
+    """Array of (s, k, e, remove): every occurrence in `text` of a key of the map `terms`, whose value is `remove`."""
+    kind = "array<struct<s:int,k:int,e:int,remove:boolean>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = (acc["at"] + F.length(x["0"])).cast("int")
+        e = (s + F.coalesce(F.length(x["1"]), F.lit(0))).cast("int")
+        remove = F.try_element_at(terms, F.lower(x["1"]))
+        found = F.array(F.struct(s.alias("s"), F.lit(4).alias("k"), e.alias("e"), remove.alias("remove"))).cast(kind)
+        # Most words are no such term; the array is copied only for those that are.
+        return F.struct(e.alias("at"), F.when(remove.isNotNull(), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+
+    pairs = F.arrays_zip(F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def disclosing(docs: DataFrame, near: DataFrame, found: DataFrame, min_docs: int, generalise_at: float, remove_at: float) -> DataFrame:
+def disclosing(found: DataFrame, base: DataFrame, min_docs: int, generalise_at: float, remove_at: float) -> DataFrame:
     """Pairs (entity, term) whose disclosure reaches `generalise_at`, with `remove` set from `remove_at` on.
 
     Disclosure is PMI(entity, term) / IC(entity), 1 where the term determines the
     entity: PMI = log2(N n(e,t) / (n(e) n(t))) and IC = log2(N / n(e)), counted in
-    documents of the whole corpus. Pairs in fewer than `min_docs` documents are no evidence.
+    whole documents of the whole corpus. Pairs in fewer than `min_docs` documents are no evidence, so entities
+    in fewer are left out before pairs are made. Equal texts have equal pairs, which are made once and counted for each document.
     """
-    pairs = near.select("entity", "term", "doc_id", "body_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_docs)
-    entities = found.where(F.size("spans") > 0).select("doc_id", "body_hash", F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["k"], F.lower(x["v"]))))).alias("entity"))
-    entities = entities.distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(EVERY_TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    scored = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
+    bodies = base.where(F.size("spans") > 0).distinct().groupBy("body_hash").agg(F.count("*").alias("n_body"), F.first("spans").alias("spans"))
+    entity = F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["k"], F.lower(x["v"])))))
+    owners = materialize(bodies.select("body_hash", "n_body", entity.alias("entity")))
+    entities = materialize(owners.groupBy("entity").agg(F.sum("n_body").alias("n_entity")).where(F.col("n_entity") >= min_docs))
+    owners = materialize(owners.join(entities, "entity"))
+    texts = found.join(owners.select("body_hash").distinct(), "body_hash", "left_semi").groupBy("body_hash").agg(F.first("text").alias("text"))
+    near = owners.join(texts, "body_hash").select("entity", "n_entity", "n_body", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = near.groupBy("entity", "n_entity", "term").agg(F.sum("n_body").alias("n_pair")).where(F.col("n_pair") >= min_docs)
+    terms = found.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs)
+    total = found.agg(F.count("*").alias("n_docs"))
+    scored = pairs.join(terms, "term").crossJoin(F.broadcast(total))
     n = F.col("n_docs").cast("double")
     information = F.log2(n / F.col("n_entity"))
     mutual = F.log2(n * F.col("n_pair") / (F.col("n_entity") * F.col("n_term").cast("double")))
@@ -121,23 +137,27 @@ def disclosing(docs: DataFrame, near: DataFrame, found: DataFrame, min_docs: int
 def find(docs: DataFrame, min_docs: int = 2, generalise_at: float = 0.7, remove_at: float = 0.95) -> DataFrame:
     """Per row of `docs`: doc_id, body_hash and `spans`, an array of (s, k, e, remove) in order of start and kind.
 
-    Base spans (kinds 0 to 3) are those of the patterns; kind 4 is a term that stands
-    near an entity and discloses it. Offsets are code points, end exclusive. Shuffled are
-    the contexts of base spans and counts of terms, combined on the map side; never a text.
+    Base spans (kinds 0 to 3) are those of the patterns; kind 4 is a term that discloses an entity, wherever
+    it stands: beside the entity, elsewhere in its documents or in any other. Offsets are code points, end exclusive. Shuffled are
+    counts of terms, combined on the map side, and texts only if they hold an entity that several documents
+    share or, where those are too many to broadcast, a disclosing term.
 
     Null text counts as empty; a null doc_id is passed on; repeated rows get the same spans;
     an empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.withColumn("spans", base_spans(F.col("text"))).withColumn("body_hash", F.xxhash64("text"))
-    near = materialize(contexts(found))
-    base = materialize(found.select("doc_id", "body_hash", "spans"))
-    pairs = disclosing(docs, near, base, min_docs, generalise_at, remove_at)
-    extra = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "body_hash", "s", "e").agg(F.max("remove").alias("remove"))
-    extra = extra.groupBy("doc_id", "body_hash").agg(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.lit(4).alias("k"), F.col("e").cast("int").alias("e"), "remove")).alias("more"))
-    extra = extra.withColumnsRenamed({"doc_id": "_d", "body_hash": "_b"})
+    found = docs.withColumn("body_hash", F.xxhash64("text"))
+    base = materialize(found.select("doc_id", "body_hash", base_spans(F.col("text")).alias("spans")))
+    pairs = disclosing(found, base, min_docs, generalise_at, remove_at)
+    terms = materialize(pairs.groupBy("term").agg(F.max("remove").alias("remove")))
+    # Both ways give the same rows; the broadcast spares a shuffle of every word of every document.
+    near = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    held = found.select("body_hash", F.explode(terms_of(F.col("text"))).alias("term")).join(near, "term").distinct()
+    held = materialize(held.groupBy("body_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("terms")))
+    extra = found.join(held, "body_hash").select("body_hash", "text", "terms").groupBy("body_hash").agg(F.first("text").alias("text"), F.first(F.map_entries("terms")).alias("terms"))
+    extra = materialize(extra.select(F.col("body_hash").alias("_b"), occurrences(F.col("text"), F.map_from_entries("terms")).alias("more")))
     plain = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(False).alias("remove")))
-    rows = base.withColumn("spans", plain).join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body_hash") == F.col("_b")), "left")
+    rows = base.withColumn("spans", plain).join(extra, F.col("body_hash") == F.col("_b"), "left")
     return rows.select("doc_id", "body_hash", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int,remove:boolean>>"))))).alias("spans"))
 
 
