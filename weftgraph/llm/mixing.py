@@ -28,9 +28,10 @@ def fill(rows: DataFrame, by: list[str], weight: str, cap: str, total: str, orde
     rows = rows.withColumn("_ratio", F.try_divide(F.col(cap).cast("double"), F.col(weight).cast("double")))
     rows = rows.withColumn("_caps", F.coalesce(F.sum(cap).over(w.rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0)))
     rows = rows.withColumn("_rate", F.try_divide(F.col(total) - F.col("_caps"), F.sum(weight).over(w.rowsBetween(0, Window.unboundedFollowing)).cast("double")))
-    rows = rows.withColumn("_final", F.min(F.when(F.col("_ratio") > F.col("_rate"), F.struct("_ratio", "_rate"))).over(part))
+    rows = rows.withColumn("_n", F.row_number().over(w))
+    rows = rows.withColumn("_final", F.min(F.when(F.col("_ratio") > F.col("_rate"), F.struct("_n", "_rate"))).over(part))
     free = F.col("_ratio") > F.col("_rate")
-    return rows.withColumn(out, F.when(free, F.least(F.col("_final._rate") * F.col(weight), F.col(cap).cast("double"))).otherwise(F.col(cap).cast("double"))).drop("_ratio", "_caps", "_rate", "_final")
+    return rows.withColumn(out, F.when(free, F.least(F.col("_final._rate") * F.col(weight), F.col(cap).cast("double"))).otherwise(F.col(cap).cast("double"))).drop("_ratio", "_caps", "_rate", "_n", "_final")
 
 
 def size_class(size: Column) -> Column:
