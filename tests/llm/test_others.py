@@ -4,6 +4,8 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import chat, topk, url_filter
 
@@ -50,33 +52,56 @@ def test_op8_rules_and_models(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
-def test_op10_brute(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 150)
-    monkeypatch.setattr(topk, "BLOCK", 8)
+def _vectors():
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 70))
     vectors = [(i, [float(x) for x in base[i % 12] + rng.normal(size=70) * (0 if i % 50 < 5 else 0.4)], 1) for i in range(500)]
-    extra = [(None, vectors[0][1], 1), (900, None, 1), (901, [], 1)]
-    df = spark.createDataFrame(vectors + extra, "vec_id long, embedding array<float>, distance int").repartition(4)
-    bits = np.array([[x > 0 for x in v] for _, v, _ in vectors])
+    vectors += [(i, [float(x) for x in rng.normal(size=70)], 1) for i in range(500, 700)]
+    return vectors
+
+
+def _nearest_by_brute_force(bits):
     want = set()
-    for q in range(0, 500, 20):
+    ids = np.arange(len(bits))
+    for q in range(0, len(bits), 20):
         d = (bits != bits[q]).sum(axis=1)
-        for rank, i in enumerate([i for i in np.lexsort((np.arange(500), d)) if i != q][:10], 1):
+        for rank, i in enumerate([i for i in np.lexsort((ids, d)) if i != q][:10], 1):
             want.add((q, rank, int(i), int(d[i])))
-    assert set(map(tuple, topk.search(df).collect())) == want
+    return want
+
+
+@pytest.mark.parametrize("cell", [1 << 14, 40, 8])
+def test_op10_brute(spark, monkeypatch, cell):
+    """One cell a segment, several, and hot cells that are dealt to pieces."""
+    monkeypatch.setattr(topk, "CELL", cell)
+    vectors = _vectors()
+    # Without an id, without components, and rows that repeat an id.
+    extra = [(None, vectors[0][1], 1), (900, None, 1), (901, [], 1), vectors[40], vectors[41]]
+    df = spark.createDataFrame(vectors + extra, "vec_id long, embedding array<float>, distance int").repartition(4)
+    bits = np.array([[x > 0 for x in v] for _, v, _ in vectors])
+    assert set(map(tuple, topk.search(df).collect())) == _nearest_by_brute_force(bits)
     assert topk.search(df.limit(0)).count() == 0
 
 
-def test_multi_index_probes_only(monkeypatch):
-    """Without the dense scan, growing radii alone give the exact result."""
-    monkeypatch.setattr(topk, "PROBE_SHARE", 0)
-    rng = np.random.default_rng(7)
-    centers = rng.integers(0, 1 << 63, size=5, dtype=np.uint64)
-    codes = np.array([[centers[i % 5] ^ np.uint64(1 << int(rng.integers(0, 64))) ^ np.uint64(1 << int(rng.integers(0, 64)))] for i in range(300)], dtype=np.uint64)
-    ids = np.arange(300)
-    q, found, d = topk.MultiIndex(ids, codes, 6).search(ids[:20], codes[:20], 5)
-    for k in range(20):
-        all_d = np.bitwise_count(codes[:, 0] ^ codes[k, 0]).astype(int)
-        order = [i for i in np.lexsort((ids, all_d)) if i != k][:5]
-        assert list(found[q == k]) == order and list(d[q == k]) == list(all_d[order])
+def test_op10_every_query_is_settled_by_its_radius(spark):
+    vectors = _vectors()
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, distance int")
+    layout = topk.Layout(len(vectors), 70)
+    codes = topk.coded(df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), 70)
+    got = topk.nearest(codes, codes.where("vec_id % 20 = 0"), layout, 11).collect()
+    assert all(len(r["near"]) == 11 and r["near"][10]["d"] <= r["covered"] for r in got)
+    # Near copies are settled by small radii, the others by larger ones, few by reading all.
+    assert len({r["covered"] for r in got}) > 1 and sum(r["covered"] == 70 for r in got) < len(got) / 4
+
+
+def test_op10_few_and_ragged_vectors(spark):
+    rows = [(0, [1.0, None, -1.0]), (1, [1.0]), (20, [float("nan"), 2.0]), (3, [1.0, 1.0, 1.0, 1.0])]
+    got = set(map(tuple, topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == {(0, 1, 1, 0), (0, 2, 20, 2), (0, 3, 3, 3), (20, 1, 0, 2), (20, 2, 1, 2), (20, 3, 3, 3)}
+
+
+def test_op10_against_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    got = topk.search(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")).select("query_id", "rank", "vec_id", "distance").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(topk.SQL).fetchall())

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.SQL}
+    return {"op3_chat": chat.SQL, "op10_topk": topk.SQL}
