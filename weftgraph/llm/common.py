@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow map holds at once; one longer text makes a batch of its own.
@@ -23,6 +23,11 @@ def claim(owner: str, forget: Callable[[], None]) -> None:
     _memories[owner] = forget
 
 
+def all_columns(docs: DataFrame) -> list[Column]:
+    """Every column of `docs`, whatever its name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def text_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """`id_col`, the UTF-8 bytes of `text_col` as `body` (null: empty) and `extra`; every other column is dropped."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), *[F.col(c) for c in extra])

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import all_columns
 from weftgraph.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells of one histogram level; two levels leave about a row in CELLS squared to sort exactly.
 CELLS = 4096
+#: Bits of a row's number within one chunk of repeated rows.
+CHUNK_BITS = 16
 
 
 def words(text: Column) -> Column:
@@ -39,14 +42,42 @@ def size_class(size: Column) -> Column:
     return F.when(size > 0, F.floor(F.log2(size.cast("double"))) + 1).otherwise(0).cast("int")
 
 
-def pareto_rank(size: Column, share: Column, seed: int) -> Column:
-    """Random odds over inclusion odds, mapped to (0, 1); the random number hangs on doc_id, source and size alone."""
-    bits = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), size), F.lit(1 << 52))
+def sized_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size, class, `key` (a hash of doc_id, source and text) and `more` of each row."""
+    doc_id, source, text = F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.xxhash64(doc_id.isNull(), doc_id, source.isNull(), source, text)
+    rows = docs.select(doc_id.alias("doc_id"), source.alias("source"), words(F.col("text")).alias("size"), key.alias("key"), *more)
+    return rows.withColumn("class", size_class(F.col("size")))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `occurrence`: rows of one `key` are numbered from 0.
+
+    Only rows whose key repeats are moved. They are numbered in chunks of a bounded size, and the chunks of a key by what comes
+    before them, so a key with a third of all rows is in no single task.
+    """
+    repeats = materialize(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"))
+    first = F.lit(0).cast("long")
+    if not repeats.take(1):
+        return rows.withColumn("occurrence", first)
+    again = materialize(rows.join(repeats, "key", "left_semi").withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)))
+    sizes = again.groupBy("key", "_chunk").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("key").alias("_k"), F.col("_chunk").alias("_c"), F.coalesce(before, first).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("key", "_chunk").orderBy("size"))
+    again = again.withColumn("_place", place).join(offsets, (F.col("key") == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+    again = again.withColumn("occurrence", F.col("_before") + F.col("_place") - 1).select(*rows.columns, "occurrence")
+    return rows.join(repeats, "key", "left_anti").withColumn("occurrence", first).select(*rows.columns, "occurrence").unionByName(again)
+
+
+def pareto_rank(share: Column, seed: int) -> Column:
+    """Random odds over inclusion odds, mapped to (0, 1); the random number hangs on doc_id, source, text and, of repeated rows, the occurrence."""
+    bits = F.pmod(F.xxhash64(F.lit(seed), F.col("key"), F.col("occurrence")), F.lit(1 << 52))
     u = (bits.cast("double") + 0.5) / float(1 << 52)
     return u * (1 - share) / (u * (1 - share) + share * (1 - u))
 
 
-def plan(docs: DataFrame, total: float | None = None, weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3, preference: float = 1 / 16, seed: int = 20) -> DataFrame:
+def plan(sized: DataFrame, total: float | None = None, weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3, preference: float = 1 / 16, seed: int = 20) -> DataFrame:
     """What each (source, size class) gets: whole copies, share of one more, and the cutoff of its source.
 
     Sources in code point order, null last, have `weights` in turn and share `total`
@@ -55,9 +86,9 @@ def plan(docs: DataFrame, total: float | None = None, weights: tuple[int, ...] =
     part is allocated to all, and the rest is sampled: documents are taken by rising
     Pareto rank until their words come nearest to what is left. The cutoff of that
     order comes from two levels of histograms and one exact sort within a cell, so that
-    a source with a third of all rows is never sorted, or held, in one task.
+    a source with a third of all rows is never sorted, or held, in one task. `sized` has the
+    numbered rows of `sized_rows`; no two of them tie, as repeated rows differ in their occurrence.
     """
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")).withColumn("class", size_class(F.col("size"))))
     classes = materialize(sized.groupBy("source", "class").agg(F.sum("size").alias("class_size"), F.count("*").alias("class_docs")))
     sources = classes.groupBy("source").agg(F.sum("class_size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -73,7 +104,7 @@ def plan(docs: DataFrame, total: float | None = None, weights: tuple[int, ...] =
     got = got.withColumn("copies", F.floor(F.col("_expected") + 1e-9).cast("long")).withColumn("share", F.greatest(F.col("_expected") - F.col("copies"), F.lit(0.0)))
     got = got.withColumn("share", F.when(F.col("share") < 1e-9, 0.0).otherwise(F.col("share")))
     got = materialize(got.withColumn("_left", F.sum(F.col("share") * F.col("class_size")).over(Window.partitionBy("source"))).select("source", "class", "source_size", "target", "copies", "share", "_left"))
-    ranked = with_plan(sized, got).where("share > 0").select("source", "size", "_left", pareto_rank(F.col("size"), F.col("share"), seed).alias("rank"))
+    ranked = with_plan(sized, got).where("share > 0").select("source", "size", "_left", pareto_rank(F.col("share"), seed).alias("rank"))
     cut = got.select("source", F.col("_left").alias("_rest"), F.lit(0).cast("long").alias("_cell")).distinct()
     scale = 1
     for _ in range(2):
@@ -115,28 +146,31 @@ def mix(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
     """Per row of `docs`: doc_id, size, source_size, target, taken, and copies and share behind them.
 
     Whole copies first, then Pareto order sampling of one more; no document is taken
-    more than `most_copies` times. The choice depends on doc_id, source and size alone, so
-    reruns agree and repeated rows fare alike. Null text has size 0 and is never
+    more than `most_copies` times. The choice depends on doc_id, source and text alone, so
+    reruns agree; of repeated rows as many get one more copy as the sample asks for, and as they are alike it does not
+    matter which. Null text has size 0 and is never
     taken; a null source is a source of its own, last; a null doc_id is sampled
-    like any other; an empty table gives an empty result; other columns are not read.
+    like any other; texts of any length are counted whole, by map, and never moved; an empty table gives an empty result;
+    other columns are not read.
     """
-    planned = plan(docs, seed=seed, **options)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")).withColumn("class", size_class(F.col("size")))
-    rows = with_plan(sized, planned)
+    sized = materialize(numbered(materialize(sized_rows(docs))))
+    rows = with_plan(sized, plan(sized, seed=seed, **options))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times(seed)).alias("taken"), "source", "copies", "share")
 
 
 def times(seed: int) -> Column:
     """How often the planned row is taken."""
-    extra = F.when((F.col("share") > 0) & (pareto_rank(F.col("size"), F.col("share"), seed) <= F.col("cutoff")), 1).otherwise(0)
+    extra = F.when((F.col("share") > 0) & (pareto_rank(F.col("share"), seed) <= F.col("cutoff")), 1).otherwise(0)
     return F.when(F.col("size") > 0, F.col("copies") + extra).otherwise(0).cast("long")
 
 
 def mix_rows(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`; texts are not shuffled."""
-    planned = plan(docs, seed=seed, **options)
-    names = docs.columns
-    key = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")).withColumn("class", size_class(F.col("size")))
-    rows = with_plan(key, planned).withColumn("_times", times(seed)).where("_times > 0")
+    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`; only texts of repeated rows are shuffled.
+
+    Columns of any name are carried along. Edge cases as in `mix`; rows that are never taken go.
+    """
+    planned = plan(numbered(materialize(sized_rows(docs))), seed=seed, **options)
+    rows = numbered(sized_rows(docs, F.struct(*all_columns(docs)).alias("_row")))
+    rows = with_plan(rows, planned).withColumn("_times", times(seed)).where("_times > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
     return rows.select("_row", copies.alias("_copy")).select("_row.*")
