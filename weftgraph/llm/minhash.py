@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import claim, map_texts, text_bytes
+from weftgraph.llm.common import all_columns, claim, map_texts, text_bytes
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
@@ -245,7 +245,8 @@ def _unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps, one a group, with the columns of `docs`.
 
-    Rows that repeat a doc_id stay together. Edge cases as in `near_duplicates`.
+    Rows that repeat a doc_id stay together; columns of any name are carried along. Other edge cases as in `near_duplicates`.
     """
     gone = near_duplicates(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*all_columns(docs)).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

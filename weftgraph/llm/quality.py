@@ -130,6 +130,13 @@ def compression_verdict(body: bytes, compressor: zstandard.ZstdCompressor) -> tu
     return ratio, n_chunks, low, high, verdict
 
 
+def passes(body: bytes, compressor: zstandard.ZstdCompressor, min_words: int, max_repeat_percent: int) -> tuple[bool, bool, tuple, tuple]:
+    """Whether a text is kept, whether it fails the base rule, its counts and what compression says."""
+    counts, found = base_counts(body), compression_verdict(body, compressor)
+    failed = counts[0] < min_words or 100 * counts[4] > max_repeat_percent * counts[0]
+    return not failed and found[4] == "kept", failed, counts, found
+
+
 def quality(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, level: int = 3) -> DataFrame:
     """One row per row of `docs` with its counts, ratios and verdict.
 
@@ -139,6 +146,9 @@ def quality(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20,
     CHUNK_BYTES against the band for their length, so repetitive and incompressible
     texts are rejected. Map-only: no shuffle; memory holds one batch of texts.
 
+    Below 70 bytes any text grows by the frame of its compression, so there only repetition is judged. Texts of any length are
+    judged whole, one after the other.
+
     Null text counts as empty and fails the base rule; a null doc_id is passed on;
     repeated rows give repeated results; an empty table gives an empty result;
     columns besides doc_id and text are not read.
@@ -148,10 +158,8 @@ def quality(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20,
         compressor = zstandard.ZstdCompressor(level=level)
         out = []
         for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            counts = base_counts(body)
-            failed = counts[0] < min_words or 100 * counts[4] > max_repeat_percent * counts[0]
-            ratio, chunks, low, high, verdict = compression_verdict(body, compressor)
-            out.append((doc_id, *counts, failed, not failed and verdict == "kept", len(body), ratio, chunks, low, high, verdict))
+            kept, failed, counts, found = passes(body, compressor, min_words, max_repeat_percent)
+            out.append((doc_id, *counts, failed, kept, len(body), *found))
         columns = list(zip(*out, strict=True)) if out else [()] * len(FIELDS)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], FIELDS)
 
@@ -162,23 +170,21 @@ FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
 TYPES = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[x.split()[1]] for x in SCHEMA.split(", ")]
 
 
-def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `quality` keeps, with the columns of `docs`; the verdict is joined by map, without a shuffle.
+def keep_quality(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, level: int = 3) -> DataFrame:
+    """The rows of `docs` that `quality` keeps, with the columns of `docs`; decided by map, without a shuffle.
 
-    Null text and every other column are handled as in `quality`.
+    Null text counts as empty and goes; rows with a null doc_id and repeated rows are judged like any other; texts are judged
+    whole; an empty table gives an empty result; columns of any name are carried along.
     """
-    names = docs.columns
 
     def keep(batches):
         claim("quality", lambda: None)
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor = zstandard.ZstdCompressor(level=level)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            mask = []
-            for text in texts:
-                body = text.as_py() or b""
-                counts = base_counts(body)
-                mask.append(not (counts[0] < 10 or 100 * counts[4] > 20 * counts[0]) and compression_verdict(body, compressor)[4] == "kept")
+            bodies = batch.column(at).cast(pa.binary())
+            mask = [passes(body.as_py() or b"", compressor, min_words, max_repeat_percent)[0] for body in bodies]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(keep, docs.schema)
+    at, names = docs.columns.index("text"), docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*names)
