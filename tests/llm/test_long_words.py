@@ -30,7 +30,7 @@ def pieces():
     return Encoder(PieceTable.load(path)), sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@pytest.mark.parametrize("rounds", [600, 3, 0])
+@pytest.mark.parametrize("rounds", [250, 3, 0])
 def test_long_words_as_the_library(pieces, monkeypatch, rounds):
     monkeypatch.setattr(merge_rounds, "LONG_ROUNDS", rounds)
     monkeypatch.setattr(merge_rounds, "LONG", 20)

@@ -8,7 +8,7 @@ import numpy as np
 
 NONE = np.iinfo(np.int64).max
 #: Symbols from which on a word is merged by itself, at many places a round; rounds of it before the rest goes one by one.
-LONG, LONG_ROUNDS = 256, 600
+LONG, LONG_ROUNDS = 256, 250
 
 
 class MergeTable:

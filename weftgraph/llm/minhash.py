@@ -18,9 +18,9 @@ SHINGLE = 5
 BANDS, ROWS = 48, 5
 THRESHOLD = 75
 #: Before sets are fetched, pairs are compared by one bit of each coordinate. Of 240 bits
-#: a pair at the threshold differs in 30 on average, standard deviation 5.1; pairs beyond
-#: 4.5 deviations (probability 3e-6) go. What stays is verified on full sets.
-MOST_BITS = 53
+#: a pair at the threshold differs in 30 on average, standard deviation 5.1; pairs beyond MOST_BITS, which
+#: has a probability of 4e-8 (the binomial tail), go, or none do if `most_bits` is None. What stays is verified on full sets.
+MOST_BITS = 60
 BIT_WORDS = ("b0", "b1", "b2", "b3")
 #: Star rounds before what is left in a bucket is compared in full.
 STAR_ROUNDS = 3
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return rows.where(100 * F.col("_shared") >= threshold * F.col("_all")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, most_bits: int | None = MOST_BITS) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id linked, through others too) and kept.
 
     Documents with one shingle set form a class, of which only the smallest doc_id goes
@@ -167,23 +167,28 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     then others by chance), unless both are in one component by then, so a bucket of thousands of near copies costs a line of
     comparisons; afterwards any two classes of a bucket that are still in
     different components are compared too, unless their parity sketches prove that they have no link, so no link that
-    joins components is lost. Links are verified on full sets.
+    joins components is lost. Links are verified on full sets. A pair whose signatures differ in more than `most_bits` bits
+    is not verified (None: all are); a pair at the threshold is missed by that with probability 4e-8, by the bands with 2e-6.
+
+    Classes and buckets are counted into tables of their own before rows are joined with them, so that a digest or a band key with a third
+    of all rows is broadcast to or split by adaptive execution.
 
     Null text, and text without words, has an empty set and links with nothing. A
     null doc_id gets a null component and is kept. Rows that repeat a doc_id share its
-    fate. An empty table gives an empty result; other columns are not read.
+    fate. An empty table gives an empty result; other columns are not read. Texts are hashed whole; the set of one text has to fit in memory.
     """
     rows = materialize(sketches(docs))
     # Of rows that share a doc_id and differ, the one of the smallest digest stands for all.
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("high", "low"))
     named = materialize(named.withColumn("_n", first).where("_n = 1").drop("_n"))
-    classes = named.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = named.select("doc_id", "high", "low", "n_shingles").join(classes, ["high", "low", "n_shingles"]).select("doc_id", "rep")
-    members = materialize(members)
-    lead = materialize(named.join(classes.select("high", "low", F.col("rep").alias("doc_id")), ["high", "low", "doc_id"]).withColumnRenamed("doc_id", "rep"))
+    # One shingle set has one signature, so any member has the keys and bits of its class.
+    digest = ("high", "low", "n_shingles")
+    lead = materialize(named.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_members"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    several = materialize(lead.where("n_members > 1").select(*digest, F.col("rep").alias("_rep")))
+    members = materialize(named.select("doc_id", *digest).join(several, list(digest), "left").select("doc_id", F.coalesce("_rep", "doc_id").alias("rep")))
     keys = lead.select("rep", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     details = lead.select("rep", "n_shingles", *[F.element_at("bits", i + 1).alias(b) for i, b in enumerate(BIT_WORDS)])
     shared = materialize(keys.join(buckets, "key"))
     # The more rows a class shares buckets with, the nearer it is to the middle of its copies.
@@ -194,15 +199,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     digests = named.select(F.col("doc_id").alias("rep"), "high", "low")
     sets = materialize(sets.join(digests, ["rep", "high", "low"], "left_semi").dropDuplicates(["rep"]).select("rep", "elements", "parity"))
     close = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-    close = close & (sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BIT_WORDS), F.lit(0)) <= MOST_BITS)
+    if most_bits is not None:
+        close = close & (sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BIT_WORDS), F.lit(0)) <= most_bits)
     facts = ("n_shingles", *BIT_WORDS)
     sizes = crowded.select("rep", "n_shingles").distinct()
     links = None
     labels = None
     for turn in range(STAR_ROUNDS):
-        rows_in = crowded if labels is None else _unsettled(crowded, labels)
+        rows_in = crowded if labels is None else materialize(_unsettled(crowded, labels))
         order = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
-        heads = rows_in.groupBy("key").agg(F.max(F.struct(order.alias("order"), *(["component"] if labels is not None else []), "rep", *facts)).alias("h"))
+        heads = materialize(rows_in.groupBy("key").agg(F.max(F.struct(order.alias("order"), *(["component"] if labels is not None else []), "rep", *facts)).alias("h")))
         pairs = rows_in.join(heads, "key")
         apart = F.col("rep") != F.col("h.rep") if labels is None else F.col("component") != F.col("h.component")
         pairs = pairs.where(apart).select(F.col("h.rep").alias("x"), F.col("rep").alias("y"), *_named("h.", "_a"), *_named("", "_b")).where(close)
@@ -238,8 +244,9 @@ def _named(prefix: str, suffix: str) -> list:
 def _unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one component, with it."""
     rows = crowded.join(labels.withColumnRenamed("id", "rep"), "rep")
+    rows = materialize(rows)
     mixed = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
-    return rows.join(mixed, "key", "left_semi")
+    return rows.join(materialize(mixed), "key", "left_semi")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
