@@ -1,6 +1,8 @@
 """Chats, URLs and vectors against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -52,6 +54,46 @@ def test_op8_rules_and_models(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_op8_scores_by_brute_force(spark, monkeypatch):
+    """Exact counts of every context, whatever the groups, and the threshold of the held-out URLs."""
+    monkeypatch.setattr(url_filter, "GROUP", 7)
+    rng = random.Random(8)
+    good, bad = [f"http://a.com/{rng.choice(['news', 'home'])}/{rng.randint(0, 99)}" for _ in range(90)], [f"http://b.net/es/{rng.choice(['buy', 'win'])}-{rng.randint(0, 99)}" for _ in range(60)]
+    free = ["http://x.org/news/1", "http://x.org/es/buy-1", "", "http://ü.org/", "http://x.org/news/1"]
+    pages = spark.createDataFrame(list(enumerate(good + bad + free)), "page_id long, url string").repartition(5)
+    held = {r["url"] for r in pages.where("pmod(xxhash64(cast(url as binary)), 8) = 0").collect()}
+
+    def counts(urls):
+        c = Counter()
+        for u in urls:
+            b = b"\x02" * 5 + u.encode() + b"\x03"
+            for i in range(5, len(b)):
+                for n in range(6):
+                    c[n, b[i - n : i]] += 1
+                    c[n, b[i - n : i], b[i]] += 1
+        return c
+
+    def score(u, models):
+        b, total = b"\x02" * 5 + u.encode() + b"\x03", 0.0
+        for i in range(5, len(b)):
+            for sign, c in zip((1, -1), models, strict=True):
+                p = 1 / 256
+                for n in range(6):
+                    p = (c[n, b[i - n : i], b[i]] + 2 * p) / (c[n, b[i - n : i]] + 2)
+                total += sign * math.log(p)
+        return total / (len(b) - 5)
+
+    seen = [counts([u for u in x if u not in held]) for x in (good, bad)]
+    tried = [(score(u, seen), u in good) for u in good + bad if u in held]
+    cuts = [(sum(s >= c / 100 for s, k in tried if k) / sum(k for _, k in tried) + sum(s < c / 100 for s, k in tried if not k) / sum(not k for _, k in tried), c) for c in range(-1000, 1001)]
+    best = [c for right, c in cuts if right >= max(cuts)[0] - 1e-12]
+    cut, models = best[len(best) // 2] / 100, [counts(good), counts(bad)]
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    for i, u in enumerate(free, 150):
+        assert got[i]["score"] == pytest.approx(score(u, models)) and got[i]["verdict"] == ("allow" if score(u, models) >= cut else "block")
+    assert all(got[i]["verdict"] == ("allow" if i < 90 else "block") and got[i]["score"] is None for i in range(150))
+
+
 def _vectors():
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 70))

@@ -9,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest context in bytes; hashed slots of one table of counts; weight of the shorter context.
-ORDER, SLOT_BITS, BACKOFF = 5, 17, 2.0
+from weftgraph.session import materialize
+
+#: Longest context in bytes; weight of the shorter context.
+ORDER, BACKOFF = 5, 2.0
 #: One in so many labelled URLs is held out to set the threshold.
 HELD_OUT = 8
-#: Scores are compared in steps of 1 / STEPS up to LIMIT either way when the threshold is set.
+#: Scores are compared in steps of 1 / STEPS when the threshold is set; beyond LIMIT either way, where no threshold has to lie, they count as LIMIT.
 STEPS, LIMIT = 100, 10
+#: URLs that are scored together, and bytes of URLs in one array.
+GROUP, SLICE_BYTES = 4096, 1 << 19
 MOST_RULES = 1000
 
 #: (verdict, host, path): fixed values of the op8 query.
@@ -49,90 +53,131 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return (found, verdict) if found is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def slots(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte and order 0 to ORDER the slot of context and byte, the slot of the context, and the URL of each byte."""
+def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte and order 0 to ORDER the key of context and byte, the key of the context, and the URL of each byte.
+
+    A key is kind, order and bytes in one number, so different ones never meet.
+    """
     pad, end = b"\x02" * ORDER, b"\x03"
-    raw = np.frombuffer(b"".join(pad + u + end for u in urls), dtype=np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b"".join(pad + u + end for u in urls), dtype=np.uint8).astype(np.int64)
     lengths = np.array([len(u) + ORDER + 1 for u in urls])
     owner = np.repeat(np.arange(len(urls)), lengths)
     inside = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = np.flatnonzero(inside >= ORDER)
     joint, context = np.empty((ORDER + 1, len(at)), dtype=np.int64), np.empty((ORDER + 1, len(at)), dtype=np.int64)
-    key = np.zeros(len(at), dtype=np.uint64)
+    held = np.zeros(len(at), dtype=np.int64)
     for n in range(ORDER + 1):
         if n:
-            key = (key << np.uint64(8)) | raw[at - n]
-        for out, k in ((context, key << np.uint64(8)), (joint, (key << np.uint64(8)) | raw[at])):
-            mixed = (k ^ np.uint64((n + 1) * 0x51_7C_C1_B7 << 24)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(32)
-            out[n] = ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            held |= raw[at - n] << (8 * (n - 1))
+        context[n] = (n << 48) | held
+        joint[n] = (1 << 52) | (n << 48) | (held << 8) | raw[at]
     return joint, context, owner[at]
 
 
-class Models:
-    """Counts of accepted (0) and rejected (1) URLs by slot; the size is fixed by SLOT_BITS and ORDER."""
+def _slices(urls: list[bytes]) -> Iterator[slice]:
+    """Runs of URLs of about SLICE_BYTES."""
+    at = held = 0
+    for i, u in enumerate(urls):
+        if held > SLICE_BYTES:
+            yield slice(at, i)
+            at, held = i, 0
+        held += len(u) + ORDER + 1
+    yield slice(at, len(urls))
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts  # class, joint or context, order, slot
 
-    def scores(self, urls: list[bytes]) -> np.ndarray:
-        """Mean over the bytes of log P(accepted) - log P(rejected), each P interpolated over contexts of every length."""
-        if not urls:
-            return np.zeros(0)
-        joint, context, owner = slots(urls)
-        total = np.zeros(joint.shape[1])
-        for sign, model in ((1.0, self.counts[0]), (-1.0, self.counts[1])):
-            p = np.full(joint.shape[1], 1 / 256)
-            for n in range(ORDER + 1):
-                p = (np.minimum(model[0, n][joint[n]], model[1, n][context[n]]) + BACKOFF * p) / (model[1, n][context[n]] + BACKOFF)
-            total += sign * np.log(p)
-        return np.bincount(owner, total, len(urls)) / np.bincount(owner, minlength=len(urls))
+def scores(urls: list[bytes], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean over the bytes of log P(accepted) - log P(rejected), each P interpolated over contexts of every length.
+
+    `counts` has two rows, accepted and rejected, with a column for each of the sorted `keys`; what is no key counts 0.
+    """
+    keys, counts = np.append(keys, -1), np.concatenate((counts, np.zeros((2, 1), dtype=np.int64)), axis=1)
+
+    def place(wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys[:-1], wanted)
+        return np.where(keys[at] == wanted, at, len(keys) - 1)
+
+    out = np.zeros(len(urls))
+    for part in _slices(urls):
+        if part.start == part.stop:
+            continue
+        joint, context, owner = grams(urls[part])
+        p = np.full((2, joint.shape[1]), 1 / 256)
+        for n in range(ORDER + 1):
+            p = (counts[:, place(joint[n])] + BACKOFF * p) / (counts[:, place(context[n])] + BACKOFF)
+        total = np.log(p[0]) - np.log(p[1])
+        size = part.stop - part.start
+        out[part] = np.bincount(owner, total, size) / np.bincount(owner, minlength=size)
+    return out
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def fit(labelled: DataFrame) -> tuple[Models, float]:
-    """Models of the labelled URLs (`url` binary, `accepted`), and the threshold.
+COUNTS = ("accepted", "rejected", "accepted_seen", "rejected_seen")
+
 
-    Every labelled URL is counted. Tasks give sparse counts, combined by slot; the driver gets at most
-    4 (ORDER + 1) 2^SLOT_BITS of them, whatever the input. One in HELD_OUT URLs, by
-    its hash, is not trained on; the threshold is where the mean of the shares rightly judged among
-    held-out URLs of both kinds is largest (of several such, the middle); 0 where a kind is missing.
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """key and COUNTS: how often each context, alone and with the byte after it, stands in accepted and rejected URLs, in all and in those not held out.
+
+    `labelled` has `url` (binary), `accepted` and `held`. Tasks count what they have, so a key that all URLs share is a row a batch.
     """
-    size = 1 << SLOT_BITS
-    held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 2, ORDER + 1, size), dtype=np.int64)
         for batch in batches:
-            accepted = np.array(batch.column("accepted").to_pylist(), dtype=bool)
             urls = _bytes(batch.column("url"))
-            for cls, want in ((0, accepted), (1, ~accepted)):
-                mine = [u for u, w in zip(urls, want, strict=True) if w]
-                if mine:
-                    joint, context, _ = slots(mine)
-                    for n in range(ORDER + 1):
-                        counts[cls, 0, n] += np.bincount(joint[n], minlength=size)
-                        counts[cls, 1, n] += np.bincount(context[n], minlength=size)
-        flat = counts.reshape(-1)
-        hit = np.flatnonzero(flat)
-        for at in range(0, len(hit), 100_000):
-            some = hit[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(flat[some], pa.int64())], ["slot", "n"])
-
-    sums = labelled.where(~held).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    flat = np.zeros(4 * (ORDER + 1) * size)
-    got = sums.toArrow()
-    flat[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    models = Models(flat.reshape(2, 2, ORDER + 1, size).astype(np.float32))
-    scored = score(labelled.where(held), models).groupBy("accepted", F.floor(F.greatest(F.least(F.col("score"), F.lit(LIMIT)), F.lit(-LIMIT)) * STEPS).cast("int").alias("step")).count()
-    return models, threshold(scored.collect())
+            accepted, held = (np.array(batch.column(c).to_pylist(), dtype=bool) for c in ("accepted", "held"))
+            for part in _slices(urls):
+                if part.start == part.stop:
+                    continue
+                joint, context, owner = grams(urls[part])
+                keys, which = np.unique(np.concatenate((joint, context)).ravel(), return_inverse=True)
+                good, seen = (np.tile(x[part][owner], 2 * (ORDER + 1)) for x in (accepted, ~held))
+                columns = [np.bincount(which[w], minlength=len(keys)) for w in (good, ~good, good & seen, ~good & seen)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(c, pa.int64()) for c in columns]], ["key", *COUNTS])
+
+    kinds = "key long, " + ", ".join(f"{c} long" for c in COUNTS)
+    return labelled.mapInArrow(count, kinds).groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def score(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """`rows` (with binary `url`, `held` and `grp`) and their `score`; held-out rows are scored by the counts that leave them out.
+
+    The counts grow with the corpus and are never gathered: each group of rows asks for the keys it has, once
+    each, gets them by a join, and is scored with its answers. A key is asked for at most once a group and batch, so none is hot.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = np.array(batch.column("grp").to_pylist(), dtype=np.int64)
+            urls = _bytes(batch.column("url"))
+            for grp in np.unique(groups).tolist():
+                mine = [urls[i] for i in np.flatnonzero(groups == grp)]
+                for part in _slices(mine):
+                    joint, context, _ = grams(mine[part])
+                    keys = np.unique(np.concatenate((joint, context)).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), grp)), pa.array(keys)], ["grp", "key"])
+
+    def answer(texts: pa.Table, known: pa.Table) -> pa.Table:
+        keys, first = np.unique(known.column("key").to_numpy(), return_index=True)
+        table = np.stack([known.column(c).to_numpy()[first] for c in COUNTS]) if len(keys) else np.zeros((4, 0), dtype=np.int64)
+        urls, held = _bytes(texts.column("url")), np.array(texts.column("held").to_pylist(), dtype=bool)
+        out = np.zeros(len(urls))
+        for which, part in ((~held, table[:2]), (held, table[2:])):
+            out[which] = scores([urls[i] for i in np.flatnonzero(which)], keys, part)
+        return texts.append_column("score", pa.array(out, pa.float64()))
+
+    asked = rows.select("grp", "url").mapInArrow(ask, "grp long, key long")
+    known = asked.join(counts, "key")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(answer, f"{kinds}, score double")
 
 
 def threshold(steps: list) -> float:
-    """From counts by (accepted, step), of which there are at most 4 LIMIT STEPS."""
+    """The cut where the mean of the shares rightly judged among held-out URLs of both kinds is largest; of several such, the middle; 0 where a kind is missing.
+
+    `steps` has counts by (accepted, step), at most 4 LIMIT STEPS of them.
+    """
     counts = np.zeros((2, 2 * LIMIT * STEPS + 1))
     for accepted, step, n in steps:
         counts[int(accepted), step + LIMIT * STEPS] += n
@@ -144,37 +189,29 @@ def threshold(steps: list) -> float:
     return float(best[len(best) // 2] - LIMIT * STEPS) / STEPS
 
 
-def score(rows: DataFrame, models: Models) -> DataFrame:
-    """`rows` with `score` for their binary `url`."""
-    shared = rows.sparkSession.sparkContext.broadcast(models.counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Models(shared.value)
-        for batch in batches:
-            found = np.concatenate([own.scores(_bytes(batch.column("url").slice(at, 2000))) for at in range(0, max(batch.num_rows, 1), 2000)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, score double")
-
-
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """Per row of `pages`: page_id, host, path, rule, verdict and the score of the models.
+    """Per row of `pages`: page_id, host, path, rule, verdict and, where no rule decides, the score of the models.
 
-    The longest rule that fits decides. Rows that rules decide are the labelled rows, all of
-    which train the models; any other URL is allowed if its length-normalised log-likelihood
-    difference reaches the threshold. Only page_id and url are read.
+    The longest rule that fits decides. Rows that rules decide are the labelled rows. One in HELD_OUT of them, by a hash of the URL,
+    sets the threshold, by models of the others; then all of them train the models. Any other URL is allowed if its length-normalised
+    log-likelihood difference reaches the threshold. Counts are exact, however many contexts there are. Only page_id and url are read.
 
     A null URL counts as empty, scores by its end alone and has an empty host and path;
     so has one without "://". A null page_id is passed on; repeated rows get the same verdict. An empty table
-    gives an empty result.
+    gives an empty result. URLs are scored whole; GROUP of them have to fit in memory.
     """
     host, path = parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).cast("binary").alias("url"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", ruled)
-    models, cut = fit(rows.where("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("accepted")))
-    scored = score(rows, models)
-    verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    held = F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0)
+    rows = materialize(rows.withColumn("held", held).withColumn("grp", F.floor(F.monotonically_increasing_id() / GROUP)))
+    counts = materialize(gram_counts(rows.where("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("accepted"), "held")))
+    scored = materialize(score(rows.where("ruled IS NULL OR held"), counts))
+    step = F.floor(F.greatest(F.least(F.col("score"), F.lit(LIMIT)), F.lit(-LIMIT)) * STEPS).cast("int")
+    cut = threshold(scored.where("held").groupBy((F.col("ruled") == "allow").alias("accepted"), step.alias("step")).count().collect())
+    names = ("page_id", "host", "path", "rule")
+    decided = rows.where("ruled IS NOT NULL").select(*names, F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    verdict = F.when(F.col("score") >= cut, "allow").otherwise("block")
+    return decided.unionByName(scored.where("ruled IS NULL").select(*names, verdict.alias("verdict"), "score"))
