@@ -185,8 +185,9 @@ def test_op7_brute(spark):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), root(i), root(i) == i)
 
 
-def test_op9_brute(spark, monkeypatch):
-    for name, value in (("GROUP_BYTES", 3000), ("BUCKET_BYTES", 4000), ("BATCH_WINDOWS", 500), ("PIECE_BYTES", 1500)):
+@pytest.mark.parametrize("heavy", [1 << 14, 2])
+def test_op9_brute(spark, monkeypatch, heavy):
+    for name, value in (("GROUP_BYTES", 3000), ("BUCKET_BYTES", 4000), ("BATCH_WINDOWS", 50), ("PIECE_BYTES", 1500), ("HEAVY", heavy)):
         monkeypatch.setattr(suffix_dedup, name, value)
     starts = defaultdict(lambda: None)
     for i, t, _ in inputs():
