@@ -24,8 +24,8 @@ OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1
 #: A term: letters between white space, before a mark of punctuation at most.
 TERM = r"(?<!\S)\p{L}{3,40}+(?=[,.;:!?]?(?:\s|$))"
 
-#: Up to so many disclosing terms are broadcast; more are joined by shuffle.
-BROADCAST_TERMS = 500_000
+#: Up to so many disclosing terms, or hashes of texts, are broadcast (8 bytes and a short word each); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 #: Items of an array that one fold works on. A fold copies what it has for every item, so arrays are folded in blocks.
 BLOCK = 64
@@ -143,23 +143,30 @@ def occurrences(text: Column, terms: Column, term: str = TERM) -> Column:
     return folded(items, FOUND, lambda x: x["gap"] + x["n"], plus, out)
 
 
-def disclosing(found: DataFrame, base: DataFrame, min_docs: int, generalise_at: float, remove_at: float, term: str) -> DataFrame:
+def texts_of(found: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(body_hash, text) of the texts with one of the distinct `hashes`, once each; copies are combined where they lie, before rows move."""
+    if hashes.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(hashes), "body_hash", "left_semi").groupBy("body_hash").agg(F.first("text").alias("text"))
+    return found.groupBy("body_hash").agg(F.first("text").alias("text")).join(hashes, "body_hash", "left_semi")
+
+
+def disclosing(found: DataFrame, base: DataFrame, min_texts: int, generalise_at: float, remove_at: float, term: str) -> DataFrame:
     """Pairs (entity, term) whose disclosure reaches `generalise_at`, with `remove` set from `remove_at` on.
 
     Disclosure is PMI(entity, term) / IC(entity), 1 where the term determines the
     entity: PMI = log2(N n(e,t) / (n(e) n(t))) and IC = log2(N / n(e)), counted in
-    whole documents of the whole corpus, one a row. Pairs in fewer than `min_docs` documents are no evidence, so entities
+    whole documents of the whole corpus, one a row. Pairs in fewer than `min_texts` different texts are no evidence, so entities
     in fewer are left out before pairs are made. Equal texts have equal pairs, which are made once and counted for each document.
     """
     bodies = base.where(F.size("spans") > 0).groupBy("body_hash").agg(F.count("*").alias("n_body"), F.first("spans").alias("spans"))
     entity = F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["k"], F.lower(x["v"])))))
     owners = materialize(bodies.select("body_hash", "n_body", entity.alias("entity")))
-    entities = materialize(owners.groupBy("entity").agg(F.sum("n_body").alias("n_entity")).where(F.col("n_entity") >= min_docs))
+    entities = materialize(owners.groupBy("entity").agg(F.sum("n_body").alias("n_entity"), F.count("*").alias("_texts")).where(F.col("_texts") >= min_texts).drop("_texts"))
     owners = materialize(owners.join(entities, "entity"))
-    texts = found.join(owners.select("body_hash").distinct(), "body_hash", "left_semi").groupBy("body_hash").agg(F.first("text").alias("text"))
+    texts = texts_of(found, materialize(owners.select("body_hash").distinct()))
     near = owners.join(texts, "body_hash").select("entity", "n_entity", "n_body", F.explode(terms_of(F.col("text"), term)).alias("term"))
-    pairs = near.groupBy("entity", "n_entity", "term").agg(F.sum("n_body").alias("n_pair")).where(F.col("n_pair") >= min_docs)
-    terms = found.select(F.explode(terms_of(F.col("text"), term)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_docs)
+    pairs = near.groupBy("entity", "n_entity", "term").agg(F.sum("n_body").alias("n_pair"), F.count("*").alias("_texts")).where(F.col("_texts") >= min_texts)
+    terms = found.select(F.explode(terms_of(F.col("text"), term)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= min_texts)
     total = found.agg(F.count("*").alias("n_docs"))
     scored = pairs.join(terms, "term").crossJoin(F.broadcast(total))
     n = F.col("n_docs").cast("double")
@@ -169,14 +176,16 @@ def disclosing(found: DataFrame, base: DataFrame, min_docs: int, generalise_at:
     return scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", (F.col("disclosure") >= remove_at).alias("remove"))
 
 
-def find(docs: DataFrame, min_docs: int = 2, generalise_at: float = 0.7, remove_at: float = 0.95, term: str = TERM) -> DataFrame:
+def find(docs: DataFrame, min_texts: int = 3, generalise_at: float = 0.9, remove_at: float = 0.97, term: str = TERM) -> DataFrame:
     """Per row of `docs`: doc_id, body_hash and `spans`, an array of (s, k, e, remove) in order of start and kind.
 
     Base spans (kinds 0 to 3) are those of the patterns; kind 4 is a term that discloses an entity, wherever
     it stands: beside the entity, elsewhere in its documents or in any other. What may be a term is the pattern `term`:
-    by default 3 to 40 letters between white space, so words of one or two letters and scripts without spaces are not judged. Offsets are code points, end exclusive. Shuffled are
+    by default 3 to 40 letters between white space, so words of one or two letters and scripts without spaces are not judged.
+    Two texts that share an entity are often near copies, which share all their rare words too; so evidence takes `min_texts`
+    of three. Offsets are code points, end exclusive. Shuffled are
     counts of terms, combined on the map side, and texts only if they hold an entity that several documents
-    share or, where those are too many to broadcast, a disclosing term.
+    share or a disclosing term.
 
     Null text counts as empty; a null doc_id is passed on; repeated rows get the same spans and count as documents of
     their own; an empty table gives an empty result; other columns are not read. A text is worked on whole, in time that
@@ -185,14 +194,14 @@ def find(docs: DataFrame, min_docs: int = 2, generalise_at: float = 0.7, remove_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = docs.withColumn("body_hash", F.xxhash64("text"))
     base = materialize(found.select("doc_id", "body_hash", base_spans(F.col("text")).alias("spans")))
-    pairs = disclosing(found, base, min_docs, generalise_at, remove_at, term)
+    pairs = disclosing(found, base, min_texts, generalise_at, remove_at, term)
     terms = materialize(pairs.groupBy("term").agg(F.max("remove").alias("remove")))
     # Both ways give the same rows; the broadcast spares a shuffle of every word of every document.
-    near = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    near = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
     held = found.select("body_hash", F.explode(terms_of(F.col("text"), term)).alias("term")).join(near, "term").distinct()
     held = materialize(held.groupBy("body_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("terms")))
-    extra = found.join(held, "body_hash").select("body_hash", "text", "terms").groupBy("body_hash").agg(F.first("text").alias("text"), F.first(F.map_entries("terms")).alias("terms"))
-    extra = materialize(extra.select(F.col("body_hash").alias("_b"), occurrences(F.col("text"), F.map_from_entries("terms"), term).alias("more")))
+    extra = texts_of(found, held.select("body_hash")).join(held, "body_hash")
+    extra = materialize(extra.select(F.col("body_hash").alias("_b"), occurrences(F.col("text"), F.col("terms"), term).alias("more")))
     plain = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(False).alias("remove")))
     rows = base.withColumn("spans", plain).join(extra, F.col("body_hash") == F.col("_b"), "left")
     return rows.select("doc_id", "body_hash", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(f"array<{FOUND}>"))))).alias("spans"))
