@@ -1,12 +1,15 @@
 """Small cases worked out by hand, and sequential models."""
 
 import random
+from xml.etree import ElementTree
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from weftgraph import session
 from weftgraph.functions.expressions import average_degree, jaccard, log_edges, parse_thresholds, strip, value_type
-from weftgraph.operators import bipartite, centrality, communities, compare, contracts, interactions, neighbours, projection, tags
+from weftgraph.operators import bipartite, centrality, communities, compare, contracts, interactions, masks, neighbours, ordering, projection, tags
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import audit, taxonomy
 from weftgraph.sources import files
@@ -22,13 +25,15 @@ def ids(spark, values):
 
 
 def test_expressions(spark):
-    row = spark.range(1).select(strip(F.lit("\t a b\n")).alias("s"), jaccard(F.lit(1), F.lit(64), F.lit(65)).alias("j"), average_degree(F.lit(0), F.lit(3)).alias("d"), *[value_type(F.lit(x)).alias(f"v{i}") for i, x in enumerate(["7", "1.5", "2020-01-02", "x", ""])]).first()
+    row = spark.range(1).select(strip(F.lit("\t a b\n")).alias("s"), jaccard(F.lit(1), F.lit(64), F.lit(65)).alias("j"), average_degree(F.lit(0), F.lit(3)).alias("d"), *[value_type(F.lit(x)).alias(f"v{i}") for i, x in enumerate(["7", "1.5", "2020-01-02", "x", "", " -7 ", "+5", "1e5", "TRUE", "nan", "1_000", "-", "1.", "2020-1-2"])]).first()
     assert row["s"] == "a b" and row["j"] == 0.007813 and row["d"] == 0.0
-    assert [row[f"v{i}"] for i in range(5)] == ["int", "float", "date", "string", "null"]
+    assert [row[f"v{i}"] for i in range(14)] == ["int", "float", "date", "string", "null", "int", "float", "float", "bool", "float", "float", "string", "float", "string"]
     assert parse_thresholds("0.5, 0.1,0.5") == [0.1, 0.5]
     with pytest.raises(ValueError):
         parse_thresholds("1.5")
-    assert len(log_edges(1, 100)) == 24 and len(log_edges(5, 5)) == 2
+    assert len(log_edges(1, 100)) == 24 and log_edges(5, 5) == [5.0, 6.0]
+    with pytest.raises(ValueError):
+        log_edges(0, 3)
 
 
 def test_components_against_union_find(spark):
@@ -119,6 +124,105 @@ def test_communities(spark):
     assert compare.modularity(two, same).first()["modularity"] > 0.4
 
 
+def test_leiden_beats_what_it_starts_from(spark):
+    """A ring of cliques with noise: modularity at least that of the cliques, every community connected, the same for one seed."""
+    rng = random.Random(12)
+    rows = {}
+    for g in range(12):
+        own = range(10 * g, 10 * g + 10)
+        rows.update({(a, b): 1.0 for a in own for b in own if a < b and rng.random() < 0.8})
+        rows[tuple(sorted((10 * g, (10 * g + 17) % 120)))] = 1.0
+    rows.update({(a, b): 0.5 for a, b in (sorted(rng.sample(range(120), 2)) for _ in range(40))})
+    graph, nodes = edges(spark, [(a, b, w) for (a, b), w in rows.items()]), ids(spark, range(120))
+    found = communities.detect(graph, nodes)
+    cliques = nodes.select("id", (F.col("id") / 10).cast("long").alias("community"))
+    assert compare.modularity(graph, found).first()["modularity"] >= compare.modularity(graph, cliques).first()["modularity"] - 1e-9
+    label = {r["id"]: r["community"] for r in found.collect()}
+    inside = spark.createDataFrame([(a, b) for a, b in rows if label[a] == label[b]], "src long, dst long")
+    parts = {r["id"]: r["component"] for r in connected_components(nodes, inside).collect()}
+    assert len({(label[v], parts[v]) for v in label}) == len(set(label.values()))
+    assert label == {r["id"]: r["community"] for r in communities.detect(graph, nodes).collect()}
+    sizes = [r["size"] for r in compare.community_sizes(found, 3).orderBy("place").collect()]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) == 3
+
+
+def test_masks_against_the_pair_join(spark, monkeypatch):
+    monkeypatch.setattr(masks, "BLOCK", 17)
+    rng = random.Random(6)
+    pairs = spark.createDataFrame(list({(f"t{rng.randrange(90)}", rng.randrange(80)) for _ in range(700)}), "tag string, app_id long")
+    rows = masks.masks(pairs)
+    want = {tuple(r) for r in projection.project_pairs(pairs, "tag", "app_id").select("src", "dst", "shared", "weight").collect()}
+    assert {tuple(r) for r in masks.project(rows).collect()} == want
+    some = spark.createDataFrame([(a, b) for a in range(80) for b in range(a + 1, 80, 3)], "src long, dst long")
+    assert {tuple(r) for r in masks.weights(some, rows).collect()} == {w for w in want if (w[1] - w[0]) % 3 == 1}
+    got = {r["threshold"]: r["n_edges"] for r in masks.threshold_counts(rows, [0.0, 0.1, 0.2]).collect()}
+    assert got == {t: sum(w[3] >= t for w in want) for t in (0.0, 0.1, 0.2)}
+    right = some.withColumn("weight", F.lit(1.0))
+    left = spark.createDataFrame([w[:2] for w in want], "src long, dst long").withColumn("weight", F.lit(1.0))
+    assert masks.overlap(rows, right).first() == compare.edge_overlap(left, right).first()
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(masks, "MOST_HUBS", 5)
+        masks.masks(pairs)
+
+
+def test_numbers_and_ranks_over_ranges(spark):
+    rng = random.Random(2)
+    values = [rng.randrange(40) for _ in range(500)]
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, x double").repartition(6)
+    assert {r["i"]: r["no"] for r in ordering.numbered(rows, ["x", "i"], "no").collect()} == {i: n for n, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)), 1)}
+    got = {r["i"]: r["rank"] for r in compare.average_ranks(rows, "x", "rank").collect()}
+    assert got == {i: sum(w < v for w in values) + (values.count(v) + 1) / 2 for i, v in enumerate(values)}
+
+
+def test_more_contracts(spark):
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "user_id long, app_id long")
+    contracts.final_degrees(pairs, 1, 2, 1)
+    with pytest.raises(contracts.ContractError):
+        contracts.final_degrees(pairs, 2, 2, 1)
+    with pytest.raises(contracts.ContractError):
+        contracts.final_degrees(pairs, 1, 2, 2)
+    contracts.in_order(pairs, "user_id", "app_id")
+    with pytest.raises(contracts.ContractError):
+        contracts.in_order(pairs.unionAll(pairs.limit(1)), "user_id", "app_id")
+    sizes = spark.createDataFrame([(1, 2, 1), (0, 0, 0)], "shared long, a long, b long")
+    contracts.positive_union(sizes.where("a > 0"), "shared", "a", "b")
+    with pytest.raises(contracts.ContractError):
+        contracts.positive_union(sizes, "shared", "a", "b")
+
+
+def test_graphml_of_other_writers(spark, tmp_path):
+    """Nodes and edges of indented files, several to a line, with marks that XML reserves."""
+    (tmp_path / "g.graphml").write_text('<graphml>\n  <graph edgedefault="undirected">\n    <node id="game:1"><data key="d0">game</data><data key="d2">1</data></node><node id="tag:R&amp;D &quot;x&quot;"><data key="d0">tag</data><data key="d1">R&amp;D &quot;x&quot;</data></node>\n    <edge source="game:1" target="tag:R&amp;D &quot;x&quot;"/><edge target="game:2" source="tag:a"></edge>\n  </graph>\n</graphml>\n')
+    assert sorted(map(tuple, files.read_graphml_edges(spark, str(tmp_path)).collect())) == [("game:1", 'tag:R&D "x"'), ("tag:a", "game:2")]
+    assert sorted(map(tuple, files.read_graphml_nodes(spark, str(tmp_path)).collect())) == [("game:1", "game", "1"), ('tag:R&D "x"', "tag", 'R&D "x"')]
+    odd = spark.createDataFrame([(1, 'R&D "x" <y>'), (2, "a\tb\nc")], "app_id long, tag string")
+    files.write_graphml(odd, "app_id", "tag", str(tmp_path / "o"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*")))
+    assert {n.get("id") for n in ElementTree.fromstring(whole.encode()).iter("{http://graphml.graphdrawing.org/xmlns}node")} == {"app_id:1", "app_id:2", 'tag:R&D "x" <y>', "tag:a\tb\nc"}
+    assert len(whole.encode()) == bipartite.graphml_size(odd, "app_id", "tag").first()[0]
+    assert {r["target"] for r in files.read_graphml_edges(spark, str(tmp_path / "o")).collect()} == {'tag:R&D "x" <y>', "tag:a\tb\nc"}
+    with pytest.raises(contracts.ContractError):
+        files.write_graphml(odd.unionAll(odd), "app_id", "tag", str(tmp_path / "p"))
+    (tmp_path / "n.graphml").write_text("<graphml></graphml>")
+    with pytest.raises(contracts.ContractError):
+        files.read_graphml_edges(spark, str(tmp_path / "n.graphml"))
+
+
+def test_metadata_without_rows_or_ids(spark, tmp_path):
+    for name, text in (("empty", ""), ("null", '{"app_id": null, "tags": []}\n')):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(contracts.ContractError):
+            files.read_metadata(spark, str(tmp_path / name))
+
+
+def test_release_removes_the_tables(spark):
+    df = session.materialize(spark.range(3))
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert session.release(spark) >= 1
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+
+
 def test_contracts(spark):
     good = edges(spark, [(1, 2, 0.5)])
     contracts.weighted_graph(good, ids(spark, [1, 2]))

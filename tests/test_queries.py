@@ -14,7 +14,7 @@ SQL = registry.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("lineitem", "part", "events", "customer", "orders"):
+    for t in ("lineitem", "part", "events", "customer", "orders", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

@@ -43,17 +43,29 @@ def choose2(n: Column) -> Column:
     return F.call_function("div", n * (n - 1), F.lit(2).cast("long"))
 
 
+#: What reads as a decimal number, exponents and the names of the special values included.
+NUMBER = r"^[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?|(?i:inf|infinity|nan))$"
+
+
 def value_type(c: Column) -> Column:
-    """null, int, float, date or string, by the look of a raw value."""
+    """bool, date, int, float or string, by the look of a raw value without white space around it; null where there is none."""
+    s = strip(c)
     return (
-        F.when(c.isNull() | (strip(c) == ""), "null")
-        .when(c.rlike(r"^[+-]?[0-9]+$"), "int")
-        .when(c.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), "float")
-        .when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "date")
+        F.when(c.isNull() | (s == ""), "null")
+        .when(F.lower(s).isin("true", "false"), "bool")
+        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
+        .when(s.rlike(r"^-?\d+$"), "int")
+        .when(s.rlike(NUMBER), "float")
         .otherwise("string")
     )
 
 
+def merged_type(kinds: Column) -> Column:
+    """The type of a column from the array of its values' types: one that all share, float for int and float, else string; null for no value."""
+    real = F.array_sort(F.array_remove(F.array_distinct(kinds), "null"))
+    return F.when(F.size(real) == 0, "null").when(F.size(real) == 1, F.get(real, F.lit(0))).when(real == F.array(F.lit("float"), F.lit("int")), "float").otherwise("string")
+
+
 def correlation(x: Column, y: Column, digits: int = 6) -> Column:
     """Pearson correlation; null for empty or constant input."""
     constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
@@ -62,9 +74,11 @@ def correlation(x: Column, y: Column, digits: int = 6) -> Column:
 
 
 def log_edges(low: int, high: int, bins: int = 23) -> list[float]:
-    """Edges of `bins` bins of equal width in the logarithm; one bin where low and high are equal."""
+    """Edges of `bins` bins of equal width in the logarithm of positive values; the one bin [low, low + 1] where low and high are equal."""
+    if low <= 0:
+        raise ValueError("a logarithmic scale needs positive values")
     if low == high:
-        return [low * 0.9, high * 1.1]
+        return [float(low), low + 1.0]
     step = (math.log10(high) - math.log10(low)) / bins
     return [10 ** (math.log10(low) + i * step) for i in range(bins)] + [float(high)]
 

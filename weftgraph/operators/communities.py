@@ -1,18 +1,24 @@
-"""Communities by local moves with refinement to connected parts, over a graph of checked size."""
+"""Communities by local moves, refinement and aggregation (Leiden), over a graph of checked size."""
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import DataFrame
 
 #: Edges that the kernel may hold on the driver.
 MOST_EDGES = 5_000_000
+#: How strongly the refinement prefers better merges.
+THETA = 0.01
 
 
-def _local_moves(near: list[dict[int, float]], strength: list[float], total: float, gamma: float, rng: random.Random) -> list[int]:
+def _local_moves(near: list[dict[int, float]], strength: list[float], total: float, gamma: float, rng: random.Random, label: list[int]) -> list[int]:
+    """`label` after nodes have moved to the neighbouring community of most gain until none gains."""
     n = len(near)
-    label, weight = list(range(n)), strength[:]
+    label, weight = label[:], [0.0] * n
+    for v, c in enumerate(label):
+        weight[c] += strength[v]
     queue = list(range(n))
     rng.shuffle(queue)
     waiting = set(queue)
@@ -55,42 +61,87 @@ def _connected(near: list[dict[int, float]], label: list[int]) -> list[int]:
     return part
 
 
-def detect(edges: DataFrame, universe: DataFrame, gamma: float = 1.0, seed: int = 42) -> DataFrame:
-    """(id, community): weighted modularity by local moves, splitting into connected parts and aggregation until nothing moves.
+def _refine(near: list[dict[int, float]], strength: list[float], total: float, gamma: float, rng: random.Random, label: list[int]) -> list[int]:
+    """Parts of the communities: single nodes that merge, within their community, with a well-connected part, chosen at random by gain."""
+    whole: dict[int, float] = {}
+    for v, c in enumerate(label):
+        whole[c] = whole.get(c, 0.0) + strength[v]
+    part, weight, alone = list(range(len(near))), strength[:], [True] * len(near)
+    # Weight of the edges from a part to the rest of its community.
+    outside = [sum(w for u, w in links.items() if u != v and label[u] == label[v]) for v, links in enumerate(near)]
+    order = list(range(len(near)))
+    rng.shuffle(order)
+    for v in order:
+        size = whole[label[v]]
+        if not alone[part[v]] or outside[v] < gamma * strength[v] * (size - strength[v]) / total:
+            continue
+        links: dict[int, float] = {}
+        for u, w in near[v].items():
+            if u != v and label[u] == label[v]:
+                links[part[u]] = links.get(part[u], 0.0) + w
+        good = [(w - gamma * strength[v] * weight[p] / total, p) for p, w in sorted(links.items()) if outside[p] >= gamma * weight[p] * (size - weight[p]) / total]
+        good = [(gain, p) for gain, p in good if gain >= 0]
+        if not good:
+            continue
+        most = max(gain for gain, _ in good)
+        chosen = rng.choices([p for _, p in good], [math.exp((gain - most) / THETA) for gain, _ in good])[0]
+        outside[chosen] += outside[v] - 2 * links[chosen]
+        weight[chosen] += strength[v]
+        alone[chosen] = alone[v] = False
+        part[v] = chosen
+    return part
 
-    The same for one seed. Every community is connected. Communities are numbered by falling size, then smallest id.
-    The graph has to fit the driver; its edges are counted first and refused beyond MOST_EDGES.
-    """
-    n_edges = edges.count()
-    if n_edges > MOST_EDGES:
-        raise ValueError(f"{n_edges} edges are more than {MOST_EDGES}")
-    ids = sorted(r["id"] for r in universe.select("id").distinct().toLocalIterator())
-    index = {v: i for i, v in enumerate(ids)}
-    near: list[dict[int, float]] = [{} for _ in ids]
-    for r in edges.select("src", "dst", "weight").orderBy("src", "dst").toLocalIterator():
-        a, b = index[r["src"]], index[r["dst"]]
-        near[a][b] = near[b][a] = r["weight"]
+
+def _dense(label: list[int]) -> list[int]:
+    numbers: dict[int, int] = {}
+    return [numbers.setdefault(c, len(numbers)) for c in label]
+
+
+def leiden(near: list[dict[int, float]], gamma: float, seed: int) -> list[int]:
+    """A community of each node: moves, refinement and aggregation of the refined parts until every community is one node."""
     rng = random.Random(seed)
-    member = list(range(len(ids)))
-    total = sum(sum(x.values()) for x in near) or 1.0
+    member = list(range(len(near)))
+    total = sum(w * (2 if u == v else 1) for v, links in enumerate(near) for u, w in links.items()) or 1.0
+    graph, label = near, list(range(len(near)))
     while True:
-        strength = [sum(w * (2 if u == v else 1) for u, w in near[v].items()) for v in range(len(near))]
-        part = _connected(near, _local_moves(near, strength, total, gamma, rng))
+        strength = [sum(w * (2 if u == v else 1) for u, w in links.items()) for v, links in enumerate(graph)]
+        label = _local_moves(graph, strength, total, gamma, rng, label)
+        part = _dense(_refine(graph, strength, total, gamma, rng, label))
         n = max(part, default=-1) + 1
-        if n == len(near):
+        if n == len(graph):
             break
         merged: list[dict[int, float]] = [{} for _ in range(n)]
-        for v, links in enumerate(near):
+        above = [0] * n
+        for v, links in enumerate(graph):
+            above[part[v]] = label[v]
             for u, w in links.items():
                 a, b = part[v], part[u]
-                if a != b:
+                if a != b or u >= v:
                     merged[a][b] = merged[a].get(b, 0.0) + w
-                elif u >= v:
-                    merged[a][a] = merged[a].get(a, 0.0) + w
-        member, near = [part[m] for m in member], merged
+        member, graph, label = [part[m] for m in member], merged, _dense(above)
+    return _connected(near, [label[m] for m in member])
+
+
+def detect(edges: DataFrame, universe: DataFrame, gamma: float = 1.0, seed: int = 42) -> DataFrame:
+    """(id, community): weighted modularity at resolution `gamma` by the Leiden method.
+
+    The same for one seed. Every community is connected. Communities are numbered by falling size, then smallest id.
+    The graph has to fit the driver; its edges are counted first and refused beyond MOST_EDGES: nodes move one after the other, each
+    by what those before it did, so the kernel is one process; reduce larger graphs to nearest neighbours first.
+    """
+    n_edges = edges.count()
+    if n_edges > MOST_EDGES:
+        raise ValueError(f"{n_edges} edges are more than {MOST_EDGES}")
+    ids = sorted(universe.select("id").distinct().toArrow().column("id").to_pylist())
+    index = {v: i for i, v in enumerate(ids)}
+    near: list[dict[int, float]] = [{} for _ in ids]
+    table = edges.select("src", "dst", "weight").toArrow()
+    for src, dst, w in sorted(zip(*(table.column(c).to_pylist() for c in ("src", "dst", "weight")), strict=True)):
+        a, b = index[src], index[dst]
+        near[a][b] = near[b][a] = w
     groups: dict[int, list[int]] = {}
-    for v, m in zip(ids, member, strict=True):
-        groups.setdefault(m, []).append(v)
+    for v, c in zip(ids, leiden(near, gamma, seed), strict=True):
+        groups.setdefault(c, []).append(v)
     order = sorted(groups.values(), key=lambda g: (-len(g), g[0]))
     rows = [(v, c) for c, g in enumerate(order) for v in g]
     return edges.sparkSession.createDataFrame(rows, "id long, community long")

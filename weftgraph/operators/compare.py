@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.expressions import choose2, correlation, ratio
+from weftgraph.functions.expressions import choose2, correlation, percent, ratio
+from weftgraph.operators.ordering import numbered, running_total
 
 
 def shared_edges(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -25,11 +26,9 @@ def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, x: str, out: str) -> DataFrame:
-    """Adds the mean rank among ties: distinct values are counted first, so only they are ordered in one place."""
-    counts = rows.groupBy(x).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(x), (before + (F.col("_n") + 1) / 2.0).alias(out))
-    return rows.join(ranks, x)
+    """Adds the mean rank among ties: distinct values are counted first, and the counts summed up over ranges of values."""
+    counts = running_total(rows.groupBy(x).agg(F.count("*").alias("_n")), [x], "_n", "_less")
+    return rows.join(counts.select(F.col(x), (F.col("_less") + (F.col("_n") + 1) / 2.0).alias(out)), x)
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -55,13 +54,12 @@ def summary(rows: DataFrame, x: str) -> DataFrame:
 def reservoir(rows: DataFrame, order: list[str], value: str, k: int) -> DataFrame:
     """(slot, value) of the deterministic reservoir of size k: row number `seen` of the order goes to slot seen - 1, or beyond k to its hashed slot.
 
-    The numbers come from one global order, as the definition asks; the last writer of a slot stays.
+    The numbers come from one global order, as the definition asks, dealt by ranges; the last writer of a slot stays.
     """
-    seen = F.row_number().over(Window.orderBy(*order)).cast("long")
-    numbered = rows.select(F.col(value).alias("value"), seen.alias("seen"))
+    rows = numbered(rows.select(*order, F.col(value).alias("_value")), order, "seen").select(F.col("_value").alias("value"), "seen")
     # The constants of the linear congruential generator of the sampling rule.
     hashed = (F.col("seen") * 1103515245 + 12345).bitwiseAND(F.lit(0x7FFFFFFF)) % F.col("seen")
-    slotted = numbered.withColumn("slot", F.when(F.col("seen") <= k, F.col("seen") - 1).otherwise(hashed)).where(F.col("slot") < k)
+    slotted = rows.withColumn("slot", F.when(F.col("seen") <= k, F.col("seen") - 1).otherwise(hashed)).where(F.col("slot") < k)
     return slotted.groupBy("slot").agg(F.max_by("value", "seen").alias("value"))
 
 
@@ -103,3 +101,19 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
     total = edges.agg(F.sum(w).cast("double").alias("m"))
     value = F.sum(F.col("inside") / F.col("m") - gamma * (F.col("deg") / (2 * F.col("m"))) ** 2)
     return sums.crossJoin(F.broadcast(total)).agg(F.count("*").alias("n_communities"), F.round(value, 6).alias("modularity"))
+
+
+def community_sizes(labels: DataFrame, k: int = 10) -> DataFrame:
+    """The `k` largest communities: (place, community, size, pct of all nodes), by falling size, then community."""
+    sizes = labels.groupBy("community").agg(F.count("*").alias("size"))
+    total = sizes.agg(F.sum("size").alias("_total"))
+    first = sizes.orderBy(F.desc("size"), "community").limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc("size"), "community"))
+    return first.crossJoin(F.broadcast(total)).select(place.alias("place"), "community", "size", percent(F.col("size"), F.col("_total"), 4).alias("pct"))
+
+
+def assignments(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(app_id, name, community_id, community_size) of (id, community); an item without a name is called by its id. Write in order of community_id and app_id."""
+    sizes = labels.groupBy("community").agg(F.count("*").alias("community_size"))
+    rows = labels.join(sizes, "community").join(names.select(F.col("app_id").alias("id"), "name"), "id", "left")
+    return rows.select(F.col("id").alias("app_id"), F.coalesce("name", F.col("id").cast("string")).alias("name"), F.col("community").alias("community_id"), "community_size")

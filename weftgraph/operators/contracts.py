@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,52 @@ def one_name(names: DataFrame, key: str = "app_id", name: str = "name") -> DataF
 def bipartite(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Every edge of (source, target) leads from a node `left:...` to a node `right:...`."""
     return holds(edges, F.col("source").startswith(f"{left}:") & F.col("target").startswith(f"{right}:"), f"edge not from {left} to {right}")
+
+
+def graph_violations(edges: DataFrame, universe: DataFrame) -> DataFrame:
+    """(contract, n_bad) of the contracts of `weighted_graph`, counted instead of raised; repeated pairs count once each."""
+    inside = universe.select(F.col("id").alias("_u")).distinct()
+    rows = edges.join(inside, F.col("src") == F.col("_u"), "left").withColumnRenamed("_u", "_s").join(inside, F.col("dst") == F.col("_u"), "left")
+    weight = F.col("weight")
+    counts = {
+        "weight_range": ~F.coalesce((weight > 0) & (weight <= 1), F.lit(False)),
+        "self_loop": F.col("src") == F.col("dst"),
+        "wrong_order": F.col("src") > F.col("dst"),
+        "outside_universe": F.col("_s").isNull() | F.col("_u").isNull(),
+    }
+    one = rows.agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
+    again = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_pair"))
+    both = one.crossJoin(F.broadcast(again))
+    return both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("contract"), F.col(c).alias("n_bad")) for c in (*counts, "repeated_pair")])).alias("x")).select("x.*")
+
+
+def degree_violations(pairs: DataFrame, min_user: int, max_user: int, min_item: int) -> DataFrame:
+    """One row: users whose items are out of bounds, items with too few users."""
+    users = pairs.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.count_if(~F.col("n").between(min_user, max_user)).alias("n_bad_users"))
+    items = pairs.groupBy("app_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") < min_item).alias("n_bad_items"))
+    return users.crossJoin(F.broadcast(items))
+
+
+def final_degrees(pairs: DataFrame, min_user: int, max_user: int, min_item: int) -> DataFrame:
+    bad = degree_violations(pairs, min_user, max_user, min_item).first()
+    if bad["n_bad_users"] or bad["n_bad_items"]:
+        raise ContractError(f"{bad['n_bad_users']} users and {bad['n_bad_items']} items are out of bounds")
+    return pairs
+
+
+def positive_union(rows: DataFrame, shared: str, left: str, right: str) -> DataFrame:
+    """The union of two sets, from their sizes and what they share, has members in every row."""
+    return holds(rows, F.col(left) + F.col(right) - F.col(shared) > 0, "empty union")
+
+
+def repeats_of_the_row_before(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """One row: rows that, in order of both columns, equal the one before. Within a value of `first` only, so that no task sees all rows."""
+    before = F.lag(second).over(Window.partitionBy(first).orderBy(second))
+    return rows.select(before.eqNullSafe(F.col(second)).alias("_again")).agg(F.count("*").alias("n_rows"), F.count_if("_again").alias("n_repeated"))
+
+
+def in_order(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """No row equals another in both columns; a table has no order of its own, so a strict order means just that."""
+    if repeats_of_the_row_before(rows, first, second).first()["n_repeated"]:
+        raise ContractError(f"repeated ({first}, {second})")
+    return rows

@@ -24,16 +24,18 @@ def core_prune(pairs: DataFrame, min_user: int = 2, max_user: int = 30, min_item
     """The largest part in which users have min_user or more items and items min_item or more users.
 
     The upper bound holds on base degrees, once. Rounds (items, then users) go on
-    until neither removes an edge; the last, idle one is counted. Each round is written to the
-    shared folder; the driver sees three counts a round.
+    until neither removes an edge; the last, idle one is counted. A round writes its edges once, to the
+    shared folder, and the counts by item; the driver sees three numbers a round.
     """
     edges = materialize(user_degree_filter(pairs, min_user, max_user))
     before = edges.count()
     rounds = []
     while True:
-        by_item = materialize(_at_least(edges, "app_id", min_item))
+        counts = materialize(edges.groupBy("app_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_item))
+        after_items = counts.agg(F.sum("n")).first()[0] or 0
+        by_item = edges if after_items == before else edges.join(counts.select("app_id"), "app_id", "left_semi")
         by_user = materialize(_at_least(by_item, "user_id", min_user))
-        after_items, after = by_item.count(), by_user.count()
+        after = by_user.count()
         rounds.append({"round": len(rounds) + 1, "removed_by_item": before - after_items, "removed_by_user": after_items - after, "n_edges": after})
         edges = by_user
         if after == before:
@@ -46,6 +48,20 @@ def _at_least(edges: DataFrame, key: str, low: int) -> DataFrame:
     return edges.join(good, key, "left_semi").select("user_id", "app_id")
 
 
+def raw_counts(raw: DataFrame, *keys: str) -> DataFrame:
+    """One row: raw rows, those with all keys, and distinct ones of these; one scan."""
+    whole = raw.groupBy(*keys).agg(F.count("*").alias("n"))
+    has = ~F.greatest(*[F.col(k).isNull() for k in keys])
+    return whole.agg(F.sum("n").alias("n_rows"), F.sum(F.when(has, F.col("n")).otherwise(0)).alias("n_with_keys"), F.count_if(has).alias("n_distinct"))
+
+
+def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key in the order of an ingest index that differs within a key; combined on the map side."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    found = rows.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_x"))
+    return found.select(*keys, "_x.*").select(*rows.columns)
+
+
 def stats(pairs: DataFrame) -> DataFrame:
     """One row: edges, users, items, averages, extremes and user-induced item pairs."""
     users = pairs.groupBy("user_id").agg(F.count("*").alias("n")).agg(

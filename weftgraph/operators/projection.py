@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.expressions import average_degree, choose2, density, jaccard, percent, ratio
@@ -79,6 +79,22 @@ def sweep(edges: DataFrame, universe: DataFrame, thresholds: list[float]) -> Dat
     return rows.select("threshold", e.alias("n_edges"), (F.col("n_nodes") - F.coalesce("touched", F.lit(0))).alias("n_isolated"), percent(e, F.greatest("base", F.lit(1)), 4).alias("retained_pct"), average_degree(F.col("n_nodes"), e).alias("avg_degree"))
 
 
+def threshold_counts(edges: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, n_edges) in one scan."""
+    one = edges.agg(*[F.count_if(F.col("weight") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("n_edges")) for i, t in enumerate(thresholds)])).alias("x")).select("x.*")
+
+
+def labelled_sweep(series: dict[str, DataFrame]) -> DataFrame:
+    """(projection, threshold, n_edges, retained_pct): the counts of several projections, each beside its own largest."""
+    rows = None
+    for name, counts in series.items():
+        one = counts.select(F.lit(name).alias("projection"), "threshold", "n_edges")
+        rows = one if rows is None else rows.unionByName(one)
+    most = F.max("n_edges").over(Window.partitionBy("projection"))
+    return rows.withColumn("retained_pct", percent(F.col("n_edges"), most, 4))
+
+
 def component_sweep(edges: DataFrame, universe: DataFrame, thresholds: list[float]) -> DataFrame:
     """Per threshold: components, size of the largest, components of one item.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.expressions import percent, ratio, strip
-from weftgraph.operators.contracts import holds
+from weftgraph.operators.contracts import ContractError, contained, holds, unique
 
 
 @dataclass(frozen=True)
@@ -96,17 +96,48 @@ def spared(pairs: DataFrame, config: TagConfig) -> DataFrame:
 
 
 def check_clean(items: DataFrame, config: TagConfig) -> DataFrame:
-    """`clean`, after its invariants were checked: no blacklisted tag, and unprotected ones within both frequency bounds."""
-    pairs = normalize(explode_tags(items), config)
+    """`clean`, after its invariants were checked.
+
+    Frequencies add up to the pairs they were counted from, before and after renaming; final tags come from the renamed ones, once each; none is
+    blacklisted, too frequent or rare; the frequencies of unprotected ones are within both bounds.
+    """
+    raw = explode_tags(items)
+    pairs = normalize(raw, config)
     kept = clean(items, config)
+    for rows in (raw, pairs):
+        if (frequencies(rows).agg(F.sum("freq")).first()[0] or 0) != rows.count():
+            raise ContractError("frequencies don't add up to their pairs")
+    contained(kept, "tag", pairs.select(F.col("tag").alias("id")).distinct())
+    final = unique(frequencies(kept), "tag")
+    if final.count() != kept.select("tag").distinct().count():
+        raise ContractError("final tags are counted twice")
     if config.blacklist:
         holds(kept, ~F.col("tag").isin(*config.blacklist), "blacklisted tag")
     rows = verdicts(pairs, config).join(kept.select("tag").distinct(), "tag", "left_semi")
-    within = (F.col("freq") >= config.min_freq) & (F.col("freq") <= F.col("n_items") * F.lit(config.max_ratio))
-    holds(rows, F.col("protected") | within, "frequency outside the bounds")
+    holds(rows, ~F.col("too_frequent"), "too frequent tag")
+    holds(rows, ~F.col("rare"), "rare tag")
+    holds(rows, F.col("protected") | (F.col("freq") >= config.min_freq), "unprotected tag below the least frequency")
+    holds(rows, F.col("protected") | (F.col("freq") <= F.col("n_items") * F.lit(config.max_ratio)), "unprotected tag above the largest frequency")
     return kept
 
 
+def before_after(items: DataFrame, before: TagConfig, after: TagConfig) -> DataFrame:
+    """(metric, before, after) of two cleanings: final tags, mean tags an item, items with tags, pairs."""
+
+    def measured(config: TagConfig, out: str) -> DataFrame:
+        rows = clean(items, config).agg(F.count_distinct("tag").alias("n_tags"), F.count_distinct("app_id").alias("n_items"), F.count("*").alias("n_pairs"))
+        values = {"n_tags": F.col("n_tags"), "avg_tags_per_item": F.coalesce(ratio(F.col("n_pairs"), F.col("n_items"), 4), F.lit(0.0)), "n_items": F.col("n_items"), "n_pairs": F.col("n_pairs")}
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias(out)) for m, v in values.items()])
+        return rows.select(F.explode(cells).alias("x")).select("x.*")
+
+    return measured(before, "before").join(measured(after, "after"), "metric")
+
+
+def survivors(items: DataFrame, config: TagConfig, watched: tuple[str, ...]) -> DataFrame:
+    """(tag, freq) of the watched tags that are left after all filters."""
+    return frequencies(clean(items, config)).where(F.col("tag").isin(*watched))
+
+
 def renamed(pairs: DataFrame) -> DataFrame:
     """How often each tag was renamed to which."""
     return pairs.where("tag_original <> tag").groupBy("tag_original", "tag").agg(F.count("*").alias("freq"))

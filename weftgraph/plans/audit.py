@@ -4,20 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DateType, MapType, StructType
 
-from weftgraph.functions.expressions import choose2, value_type
+from weftgraph.functions.expressions import choose2, merged_type, value_type
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Per column: rows, nulls or blanks, distinct values, and the widest type that its values look like."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns])).alias("x")).select("x.column", "x.v")
-    kind = value_type(F.col("v"))
+    """Per column: rows, nulls or blanks, distinct values, and the type that all its values share.
+
+    Strings are typed by their look, value by value; arrays are `list`, structs and maps `dict`, and what the schema types keeps its type.
+    """
+    rows, typed = [], {}
+    for f in df.schema:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        nested = isinstance(f.dataType, ArrayType | StructType | MapType)
+        typed[f.name] = "list" if isinstance(f.dataType, ArrayType) else "dict" if nested else "bool" if isinstance(f.dataType, BooleanType) else "date" if isinstance(f.dataType, DateType) else None
+        rows.append(F.struct(F.lit(f.name).alias("column"), (F.to_json(c) if nested else c.cast("string")).alias("v")))
+    long = df.select(F.explode(F.array(*rows)).alias("x")).select("x.column", "x.v")
     # Distinct values by two combined aggregations instead of one row for each value in memory.
     cells = long.groupBy("column", "v").agg(F.count("*").alias("n"))
-    rank = F.when(kind == "null", 0).when(kind == "int", 1).when(kind == "float", 2).otherwise(3)
-    rows = cells.groupBy("column").agg(F.sum("n").alias("n_rows"), F.sum(F.when(kind == "null", F.col("n")).otherwise(0)).alias("n_null"), F.count("v").alias("n_distinct"), F.max(rank).alias("_rank"))
-    kinds = F.array(*[F.lit(k) for k in ("null", "int", "float", "string")])
-    return rows.select("column", "n_rows", "n_null", "n_distinct", F.element_at(kinds, F.col("_rank") + 1).alias("value_type"))
+    known = F.create_map(*[x for name, kind in typed.items() for x in (F.lit(name), F.lit(kind).cast("string"))])
+    kind = value_type(F.col("v"))
+    kind = F.when(kind == "null", kind).otherwise(F.coalesce(F.element_at(known, F.col("column")), kind))
+    found = cells.withColumn("kind", kind).groupBy("column").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("kind") == "null", F.col("n")).otherwise(0)).alias("n_null"), F.count("v").alias("n_distinct"), F.collect_set("kind").alias("kinds"))
+    return found.select("column", "n_rows", "n_null", "n_distinct", merged_type(F.col("kinds")).alias("value_type"))
 
 
 def degree_buckets(pairs: DataFrame, key: str) -> DataFrame:
@@ -54,3 +64,8 @@ def bounds(pairs: DataFrame, user: str = "user_id", item: str = "app_id") -> Dat
     users = pairs.groupBy(user).agg(F.count("*").alias("n")).agg(F.sum(choose2(F.col("n"))).alias("user_induced_pairs"))
     items = pairs.agg(F.countDistinct(item).alias("n_items"))
     return items.crossJoin(F.broadcast(users)).select("n_items", choose2(F.col("n_items")).alias("all_pairs"), "user_induced_pairs")
+
+
+def first_records(rows: DataFrame, order: list[str], k: int = 3) -> DataFrame:
+    """The first `k` rows in an order that tells them apart; a heap per partition, not a full sort."""
+    return rows.orderBy(*order).limit(k)

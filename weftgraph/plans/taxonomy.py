@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.contracts import same_set, unique
@@ -30,3 +30,8 @@ def suggest(classified: DataFrame, core: Sequence[int], optional: Sequence[int],
     category = F.col("category_id")
     verdict = F.when(category.isin(*core), "keep").when(category.isin(*optional) & F.col("tag").isin(*wanted), "keep_optional").otherwise("remove")
     return classified.withColumn("suggestion", verdict)
+
+
+def ordered(classified: DataFrame) -> DataFrame:
+    """Adds `place`: by category, within it by falling frequency, then tag. Tags are few."""
+    return classified.withColumn("place", F.row_number().over(Window.orderBy("category_id", F.desc("freq"), "tag")))

@@ -6,17 +6,18 @@ item are the words of its name, its brand, its type and its size.
 
 from __future__ import annotations
 
-import uuid
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import bipartite, centrality, communities, compare, interactions, neighbours, projection, tags
+from weftgraph.operators import bipartite, centrality, communities, compare, contracts, interactions, masks, neighbours, projection, tags
 from weftgraph.operators.components import connected_components
+from weftgraph.operators.ordering import numbered
 from weftgraph.plans import audit, taxonomy
-from weftgraph.session import materialize, shared_dir, table
-from weftgraph.sources import aggregates
+from weftgraph.session import materialize, shared_path, table
+from weftgraph.sources import aggregates, files
 
 CORE = (2, 30, 24)
 TAGS = tags.TagConfig(min_freq=50, max_ratio=0.15, rename={"size:1": "size:small", "size:2": "size:small"}, blacklist=("size:50",), protected=("size:small",))
@@ -24,13 +25,20 @@ THRESHOLDS = [0.0, 0.018, 0.02, 0.025, 0.03, 0.035, 0.05]
 CUT = 0.02
 K = 10
 
+#: What the parts of one query share; written once, and forgotten when the next query starts.
+_shared: dict[str, DataFrame] = {}
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
-        _queries[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            _shared.clear()
+            return f(spark, sf)
+
+        _queries[f.__name__] = run
         if sql:
             _sql[f.__name__] = sql
         return f
@@ -53,8 +61,14 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").selectExpr("l_orderkey AS user_id", "l_partkey AS app_id")
 
 
+def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    if name not in _shared:
+        _shared[name] = materialize(make())
+    return _shared[name]
+
+
 def users_items(spark: SparkSession, sf: str) -> DataFrame:
-    return interactions.user_degree_filter(interactions.dedupe(raw(spark, sf)))
+    return once("users_items", lambda: interactions.user_degree_filter(interactions.dedupe(raw(spark, sf))))
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,12 +84,22 @@ def graph(spark: SparkSession, sf: str) -> DataFrame:
     return projection.project_pairs(users_items(spark, sf))
 
 
-def tag_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return projection.project_pairs(tags.clean(items(spark, sf), TAGS), "tag", "app_id")
+def tag_masks(spark: SparkSession, sf: str) -> DataFrame:
+    return once("tag_masks", lambda: masks.masks(tags.clean(items(spark, sf), TAGS)))
+
+
+def shared_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, dst, w_left, w_right) of the edges that both graphs have: those of the sparse one are looked up in the masks of the dense one."""
+    edges = graph(spark, sf).withColumnRenamed("weight", "w_right")
+    return masks.weights(edges, tag_masks(spark, sf), "w_right").select("src", "dst", F.col("weight").alias("w_left"), "w_right")
 
 
 def final_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(projection.threshold_filter(graph(spark, sf), CUT))
+    return once("final_graph", lambda: projection.threshold_filter(graph(spark, sf), CUT))
+
+
+def names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("app_id"), F.col("p_name").alias("name"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +167,7 @@ def user_degree_filter(spark, sf):
     return users_items(spark, sf)
 
 
-@query(f"WITH {core_sql()} SELECT * FROM e8")
+@query(f"WITH {core_sql()} SELECT * FROM e8 WHERE CASE WHEN (SELECT count(*) FROM e7) = (SELECT count(*) FROM e8) THEN true ELSE error('more rounds are needed') END")
 def core_prune(spark, sf):
     return interactions.core_prune(interactions.dedupe(raw(spark, sf)), *CORE)[0]
 
@@ -259,21 +283,35 @@ def degree_distribution(spark, sf):
     return bipartite.degree_distribution(users_items(spark, sf), "user_id", "app_id")
 
 
-@query()
+@query(
+    f"WITH {UF}, d AS (SELECT count(*) AS degree FROM uf GROUP BY app_id), s AS (SELECT min(degree) AS lo, max(degree) AS hi FROM d) "
+    "SELECT CAST(least(coalesce(floor(ln(degree / lo) * 23 / nullif(ln(hi / lo), 0)), 0), 22) AS INTEGER) AS bin, count(*) AS n FROM d, s GROUP BY 1"
+)
 def log_binned_degrees(spark, sf):
     return bipartite.log_binned(bipartite.degree_distribution(users_items(spark, sf), "user_id", "app_id").where("side = 'right'"))
 
 
-@query()
+def _component_sizes_sql(left: str, right: str, source: str, recursive: str) -> str:
+    return (
+        f"WITH RECURSIVE {source}, e AS (SELECT {left} * 2 AS a, {right} * 2 + 1 AS b FROM {recursive}), w AS (SELECT a AS id, b AS other FROM e UNION ALL SELECT b, a FROM e), "
+        "cc(id, label) USING KEY (id) AS (SELECT DISTINCT id, id FROM w UNION SELECT w.other, min(cc.label) FROM cc JOIN w ON w.id = cc.id JOIN recurring.cc AS known ON known.id = w.other WHERE cc.label < known.label GROUP BY 1) "
+        "SELECT size, count(*) AS n_components FROM (SELECT count(*) AS size FROM cc GROUP BY label) GROUP BY 1"
+    )
+
+
+@query(_component_sizes_sql("user_id", "app_id", UF, "uf"))
 def component_size_distribution(spark, sf):
     return bipartite.component_sizes(users_items(spark, sf), "user_id", "app_id")
 
 
+def _node_sql(c: str, key: str) -> str:
+    return f"""SELECT DISTINCT '    <node id="{c}:' || {c} || '"><data key="d0">{c}</data><data key="{key}">' || {c} || '</data></node>' AS line FROM uf"""
+
+
 @query(
-    f"""WITH {UF}, x AS (SELECT DISTINCT '<node id="user_id:' || user_id || '"><data key="d0">user_id</data></node>' AS line FROM uf
-    UNION ALL SELECT DISTINCT '<node id="app_id:' || app_id || '"><data key="d0">app_id</data></node>' FROM uf
-    UNION ALL SELECT '<edge source="user_id:' || user_id || '" target="app_id:' || app_id || '"/>' FROM uf)
-    SELECT CAST(sum(strlen(line) + 1) + {len(bipartite.HEAD) + len(bipartite.TAIL) + 2} AS BIGINT) AS n_bytes FROM x"""
+    f"""WITH {UF}, x AS ({_node_sql("user_id", "d1")} UNION ALL {_node_sql("app_id", "d2")}
+    UNION ALL SELECT '    <edge source="user_id:' || user_id || '" target="app_id:' || app_id || '"/>' FROM uf)
+    SELECT CAST(sum(strlen(line) + 1) + {len(bipartite.head("user_id", "app_id")) + len(bipartite.TAIL) + 2} AS BIGINT) AS n_bytes FROM x"""
 )
 def graphml_size_estimate(spark, sf):
     return bipartite.graphml_size(users_items(spark, sf), "user_id", "app_id")
@@ -305,8 +343,8 @@ def item_counts(spark, sf):
 @query(f"WITH {G} SELECT * FROM g")
 def project_from_stores(spark, sf):
     """Aggregates of two halves of the users are stored, reopened and added."""
-    pairs = materialize(users_items(spark, sf))
-    stores = [f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}" for _ in range(2)]
+    pairs = users_items(spark, sf)
+    stores = [shared_path(spark) for _ in range(2)]
     for half, path in enumerate(stores):
         aggregates.save(pairs.where(F.pmod(F.xxhash64("user_id"), F.lit(2)) == half), path)
     return aggregates.edges(spark, *stores)
@@ -314,7 +352,7 @@ def project_from_stores(spark, sf):
 
 @query(f"WITH {TG} SELECT * FROM t")
 def project_item_tag(spark, sf):
-    return tag_graph(spark, sf)
+    return masks.project(tag_masks(spark, sf))
 
 
 @query(f"WITH RECURSIVE {FIN}, {COMPONENTS} SELECT id, component FROM comp")
@@ -377,17 +415,17 @@ SHARED = BOTH + ", sh AS (SELECT g.src, g.dst, t.weight AS w_left, g.weight AS w
     f"SELECT n_left, n_right, n_shared, n_left + n_right - n_shared AS n_union, {r('n_shared', '(n_left + n_right - n_shared)', 6)} AS edge_jaccard FROM c"
 )
 def edge_overlap(spark, sf):
-    return compare.edge_overlap(tag_graph(spark, sf), graph(spark, sf))
+    return masks.overlap(tag_masks(spark, sf), materialize(graph(spark, sf)))
 
 
 @query(f"WITH {SHARED} SELECT * FROM sh")
 def shared_edge_weights(spark, sf):
-    return compare.shared_edges(tag_graph(spark, sf), graph(spark, sf))
+    return shared_weights(spark, sf)
 
 
 @query(f"WITH {SHARED} SELECT count(*) AS n, CASE WHEN min(w_left) < max(w_left) AND min(w_right) < max(w_right) THEN round(corr(w_left, w_right), 6) END AS pearson FROM sh")
 def pearson_shared(spark, sf):
-    return compare.pearson(compare.shared_edges(tag_graph(spark, sf), graph(spark, sf)), "w_left", "w_right")
+    return compare.pearson(shared_weights(spark, sf), "w_left", "w_right")
 
 
 @query(
@@ -395,7 +433,7 @@ def pearson_shared(spark, sf):
     "SELECT count(*) AS n, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN round(corr(a, b), 6) END AS spearman FROM k"
 )
 def spearman_shared(spark, sf):
-    return compare.spearman(materialize(compare.shared_edges(tag_graph(spark, sf), graph(spark, sf))), "w_left", "w_right")
+    return compare.spearman(materialize(shared_weights(spark, sf)), "w_left", "w_right")
 
 
 # Neighbours and centrality --------------------------------------------------
@@ -497,7 +535,38 @@ def ari_nmi(spark, sf):
 # Audit ----------------------------------------------------------------------
 
 
-@query()
+NUMBER = r"[+-]?(([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?|(?i:inf|infinity|nan))"
+
+
+def _column_sql(source: str, column: str) -> str:
+    return (
+        f"SELECT '{column}' AS column, count(*) AS n_rows, count(*) FILTER (WHERE k = 'null') AS n_null, count(DISTINCT v) AS n_distinct, "
+        "CASE WHEN count(DISTINCT k) FILTER (WHERE k <> 'null') = 0 THEN 'null' WHEN count(DISTINCT k) FILTER (WHERE k <> 'null') = 1 THEN max(k) FILTER (WHERE k <> 'null') WHEN bool_and(k IN ('null', 'int', 'float')) THEN 'float' ELSE 'string' END AS value_type "
+        "FROM (SELECT v, CASE WHEN v IS NULL OR trim(v) = '' THEN 'null' WHEN lower(trim(v)) IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(trim(v), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date' "
+        f"WHEN regexp_full_match(trim(v), '-?[0-9]+') THEN 'int' WHEN regexp_full_match(trim(v), '{NUMBER}') THEN 'float' ELSE 'string' END AS k FROM (SELECT CAST({column} AS VARCHAR) AS v FROM {source}))"
+    )
+
+
+#: Raw values of every kind, made of those of `customer`.
+RAW_VALUES = {
+    "c_custkey": "c_custkey",
+    "c_name": "c_name",
+    "c_acctbal": "c_acctbal",
+    "dates": "concat('20', lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0'), '-01-02')",
+    "flags": "CASE WHEN c_custkey % 2 = 0 THEN ' TRUE' ELSE 'false' END",
+    "numbers": "CASE WHEN c_custkey % 3 = 0 THEN '1e5' WHEN c_custkey % 3 = 1 THEN '+5' ELSE '-12' END",
+    "whole": "CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN CAST(NULL AS VARCHAR) ELSE concat('-', CAST(c_custkey + 1 AS VARCHAR)) END",
+    "mixed": "CASE WHEN c_custkey % 2 = 0 THEN '2020-01-02' ELSE '7' END",
+    "nothing": "CAST(NULL AS VARCHAR)",
+}
+
+
+@query("WITH raws AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in RAW_VALUES.items()) + " FROM customer) " + " UNION ALL ".join(_column_sql("raws", c) for c in RAW_VALUES))
+def audit_value_types(spark, sf):
+    return audit.column_profile(table(spark, sf, "customer").select(*[F.expr(e.replace("VARCHAR", "STRING")).alias(c) for c, e in RAW_VALUES.items()]))
+
+
+@query(" UNION ALL ".join(_column_sql("customer", c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
 def audit_columns(spark, sf):
     return audit.column_profile(table(spark, sf, "customer"))
 
@@ -620,7 +689,7 @@ def weight_quantiles_sampled(spark, sf):
     + " FROM sh"
 )
 def shared_weight_summary(spark, sf):
-    return compare.summary(compare.shared_edges(tag_graph(spark, sf), graph(spark, sf)), "w_right")
+    return compare.summary(shared_weights(spark, sf), "w_right")
 
 
 @query(
@@ -660,3 +729,200 @@ def tags_spared(spark, sf):
 def interaction_funnel(spark, sf):
     pairs = materialize(interactions.dedupe(raw(spark, sf)))
     return interactions.funnel({"1_distinct": pairs, "2_base": interactions.user_degree_filter(pairs, 2, 100), "3_core": interactions.core_prune(pairs, *CORE)[0]})
+
+
+# Results of the reports, contracts and files -----------------------------------
+
+
+@query("SELECT p_partkey AS app_id, concat('part ', CAST(p_partkey AS VARCHAR)) AS description, array_to_string(list_concat(string_split(p_name, ' '), [p_brand, p_type, 'size:' || p_size]), '|') AS tags FROM part")
+def metadata_round_trip(spark, sf):
+    """Items are written as JSON lines and read back with defaults."""
+    path = shared_path(spark)
+    items(spark, sf).select("app_id", F.concat(F.lit("part "), F.col("app_id").cast("string")).alias("description"), "tags").write.json(path)
+    return files.read_metadata(spark, path).select("app_id", "description", F.array_join("tags", "|").alias("tags"))
+
+
+@query(f"WITH {UF} SELECT * FROM uf")
+def csv_round_trip(spark, sf):
+    """Edges are written as sorted CSV, checked, and read back with their exact header."""
+    path = shared_path(spark)
+    files.write_checked_csv(users_items(spark, sf), path, "user_id", "app_id")
+    return files.read_csv(spark, path, "user_id long, app_id long", exact=True)
+
+
+@query(f"WITH {UF} SELECT app_id, user_id FROM uf")
+def open_csv_round_trip(spark, sf):
+    """The same without a schema: types are found by reading, columns by name."""
+    path = shared_path(spark)
+    files.write_csv(users_items(spark, sf), path)
+    return files.read_csv(spark, path).select(F.col("app_id").cast("long").alias("app_id"), F.col("user_id").cast("long").alias("user_id"))
+
+
+@query(f"WITH {UF} SELECT 'edge' AS kind, 'user_id:' || user_id AS a, 'app_id:' || app_id AS b FROM uf UNION ALL SELECT DISTINCT 'user_id', 'user_id:' || user_id, CAST(user_id AS VARCHAR) FROM uf UNION ALL SELECT DISTINCT 'app_id', 'app_id:' || app_id, CAST(app_id AS VARCHAR) FROM uf")
+def graphml_round_trip(spark, sf):
+    """The bipartite graph is written as GraphML within its size, and its nodes and edges read back."""
+    path = shared_path(spark)
+    files.write_graphml_within(users_items(spark, sf), "user_id", "app_id", path)
+    edges = contracts.bipartite(files.read_graphml_edges(spark, path), "user_id", "app_id")
+    nodes = files.read_graphml_nodes(spark, path)
+    return edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")).unionByName(nodes.select(F.col("type").alias("kind"), F.col("id").alias("a"), F.col("value").alias("b")))
+
+
+@query(f"WITH {TAG_RAW}, q AS (SELECT app_id, tag || ' & \"<' || app_id % 3 || '>\"' AS tag FROM tclean) SELECT 'app_id:' || app_id AS source, 'tag:' || tag AS target FROM q")
+def graphml_escaped_round_trip(spark, sf):
+    """Tags with marks that XML reserves."""
+    path = shared_path(spark)
+    odd = F.concat("tag", F.lit(' & "<'), (F.col("app_id") % 3).cast("string"), F.lit('>"'))
+    files.write_graphml(tags.clean(items(spark, sf), TAGS).select("app_id", odd.alias("tag")), "app_id", "tag", path)
+    return files.read_graphml_edges(spark, path)
+
+
+@query(f"WITH {UF}, c AS (SELECT count(*) AS e, count(DISTINCT user_id) AS l, count(DISTINCT app_id) AS q FROM uf) SELECT l AS n_left, q AS n_right, l + q AS n_nodes, e AS n_edges, {r('2 * e', '(l + q)', 4)} AS avg_degree FROM c")
+def stats_round_trip(spark, sf):
+    """Statistics are written as one JSON document and read back."""
+    row = bipartite.stats(users_items(spark, sf), "user_id", "app_id")
+    path, schema = shared_path(spark), row.schema
+    spark.createDataFrame([(files.stats_json(row),)], "value string").coalesce(1).write.text(path)
+    found = files.read_stats(spark, path)
+    return found.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE user_id IS NOT NULL AND k IS NOT NULL) AS n_with_keys, count(DISTINCT (user_id, k)) FILTER (WHERE user_id IS NOT NULL AND k IS NOT NULL) AS n_distinct FROM (SELECT user_id, CAST(nullif(json_extract_string(props, '$.k'), '3') AS BIGINT) AS k FROM events)")
+def raw_counts(spark, sf):
+    """Rows before and after those without a key go; one value stands for a missing key."""
+    k = F.nullif(F.get_json_object("props", "$.k"), F.lit("3")).cast("long")
+    return interactions.raw_counts(table(spark, sf, "events").select("user_id", k.alias("app_id")), "user_id", "app_id")
+
+
+@query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_partkey, l_linenumber) AS l_partkey FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) GROUP BY 1")
+def keep_first(spark, sf):
+    return interactions.keep_first(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], "l_linenumber")
+
+
+@query(f"WITH {UF}, {UNI} SELECT id, row_number() OVER (ORDER BY id) - 1 AS index FROM uni")
+def item_index(spark, sf):
+    return numbered(universe(spark, sf), ["id"], "index").select("id", (F.col("index") - 1).alias("index"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 3")
+def first_records(spark, sf):
+    return audit.first_records(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"])
+
+
+@query(f"WITH {TAXONOMY} SELECT *, CAST(row_number() OVER (ORDER BY category_id, freq DESC, tag) AS INTEGER) AS place FROM cl")
+def tag_category_order(spark, sf):
+    return taxonomy.ordered(_classified(spark, sf))
+
+
+@query(f"WITH {UF}, {TAG_RAW} SELECT * FROM uf WHERE app_id IN (SELECT app_id FROM tclean WHERE tag LIKE 'size:%')")
+def edges_in_universe(spark, sf):
+    inside = tags.clean(items(spark, sf), TAGS).where(F.col("tag").startswith("size:")).select("app_id").distinct()
+    return users_items(spark, sf).join(inside, "app_id", "left_semi").select("user_id", "app_id")
+
+
+@query(
+    "WITH ed AS (SELECT l_partkey AS src, l_suppkey AS dst, l_discount * 20 AS weight FROM lineitem), un AS (SELECT s_suppkey AS id FROM supplier), b AS (SELECT *, src IN (SELECT id FROM un) AND dst IN (SELECT id FROM un) AS inside FROM ed) "
+    "SELECT 'weight_range' AS contract, count(*) FILTER (WHERE weight IS NULL OR weight <= 0 OR weight > 1) AS n_bad FROM b UNION ALL SELECT 'self_loop', count(*) FILTER (WHERE src = dst) FROM b UNION ALL SELECT 'wrong_order', count(*) FILTER (WHERE src > dst) FROM b "
+    "UNION ALL SELECT 'outside_universe', count(*) FILTER (WHERE NOT inside) FROM b UNION ALL SELECT 'repeated_pair', count(*) FROM (SELECT 1 FROM ed GROUP BY src, dst HAVING count(*) > 1)"
+)
+def contract_violations(spark, sf):
+    """The contracts of a weighted graph, counted on edges that break all of them."""
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_discount") * 20).alias("weight"))
+    return contracts.graph_violations(edges, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
+@query(f"WITH {UF} SELECT (SELECT count(*) FROM (SELECT 1 FROM uf GROUP BY user_id HAVING count(*) NOT BETWEEN 3 AND 5)) AS n_bad_users, (SELECT count(*) FROM (SELECT 1 FROM uf GROUP BY app_id HAVING count(*) < 24)) AS n_bad_items")
+def degree_violations(spark, sf):
+    return contracts.degree_violations(users_items(spark, sf), 3, 5, 24)
+
+
+@query(f"WITH {core_sql()} SELECT * FROM e8")
+def core_within_bounds(spark, sf):
+    """The pruned core, after its degree bounds were checked."""
+    low_user, high_user, low_item = CORE
+    return contracts.final_degrees(interactions.core_prune(interactions.dedupe(raw(spark, sf)), *CORE)[0], low_user, high_user, low_item)
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE again) AS n_repeated FROM (SELECT coalesce(lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) = l_partkey, false) AS again FROM lineitem)")
+def repeats_of_the_row_before(spark, sf):
+    return contracts.repeats_of_the_row_before(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
+
+
+@query(f"WITH {G} SELECT * FROM g")
+def checked_projection(spark, sf):
+    """The projection, after its contracts were checked: weights, order, repeats, ends, sets that aren't empty."""
+    edges = materialize(graph(spark, sf))
+    counts = projection.count_items(users_items(spark, sf))
+    sizes = edges.join(counts.withColumnsRenamed({"id": "src", "n": "n_src"}), "src").join(counts.withColumnsRenamed({"id": "dst", "n": "n_dst"}), "dst")
+    contracts.positive_union(sizes, "shared", "n_src", "n_dst")
+    return contracts.in_order(contracts.weighted_graph(edges, universe(spark, sf)), "src", "dst")
+
+
+BEFORE = tags.TagConfig(min_freq=1, max_ratio=1.0)
+
+
+@query(
+    f"WITH {TAG_RAW}, bf AS (SELECT DISTINCT app_id, tag_original AS tag FROM traw WHERE tag_original <> ''), "
+    "m AS (SELECT 1 AS k, count(DISTINCT tag) AS t, count(DISTINCT app_id) AS i, count(*) AS p FROM bf UNION ALL SELECT 2, count(DISTINCT tag), count(DISTINCT app_id), count(*) FROM tclean), "
+    f"v AS (SELECT k, unnest(['n_tags', 'avg_tags_per_item', 'n_items', 'n_pairs']) AS metric, unnest([CAST(t AS DOUBLE), {r('p', 'i', 4)}, CAST(i AS DOUBLE), CAST(p AS DOUBLE)]) AS x FROM m) "
+    "SELECT a.metric, a.x AS before, b.x AS after FROM v a JOIN v b USING (metric) WHERE a.k = 1 AND b.k = 2"
+)
+def tag_before_after(spark, sf):
+    return tags.before_after(items(spark, sf), BEFORE, TAGS)
+
+
+@query(f"WITH {TAG_RAW} SELECT tag, count(*) AS freq FROM tclean WHERE tag IN ('size:small', 'size:50', 'size:7', 'blue', 'STANDARD') GROUP BY 1")
+def tag_survivors(spark, sf):
+    return tags.survivors(items(spark, sf), TAGS, ("size:small", "size:50", "size:7", "blue", "STANDARD"))
+
+
+@query(f"WITH {TAG_RAW} SELECT * FROM tclean")
+def checked_tags(spark, sf):
+    """The cleaned tags, after their invariants were checked."""
+    return tags.check_clean(items(spark, sf), TAGS)
+
+
+@query(f"WITH {UF}, {UNI}, {LABELS} SELECT id AS app_id, coalesce(p_name, CAST(id AS VARCHAR)) AS name, community AS community_id, count(*) OVER (PARTITION BY community) AS community_size FROM la LEFT JOIN part ON p_partkey = id AND p_partkey % 4 > 0")
+def community_assignments(spark, sf):
+    """Items with their names, or ids where a name is missing, their community and its size."""
+    return compare.assignments(_labels(spark, sf, 7), names(spark, sf).where("app_id % 4 > 0"))
+
+
+@query(f"WITH {UF}, {UNI}, {LABELS}, z AS (SELECT community, count(*) AS size FROM la GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY size DESC, community) AS INTEGER) AS place, community, size, {r('100 * size', '(SELECT count(*) FROM la)', 4)} AS pct FROM z ORDER BY size DESC, community LIMIT 5")
+def largest_communities(spark, sf):
+    return compare.community_sizes(_labels(spark, sf, 7), 5)
+
+
+CUTS = [0.0, 0.02, 0.1, 0.25, 0.5]
+
+
+@query(
+    f"WITH {BOTH}, th AS (SELECT CAST(unnest({CUTS}) AS DOUBLE) AS threshold), x AS (SELECT 'catalogue' AS projection, threshold, (SELECT count(*) FROM t WHERE weight >= threshold) AS n_edges FROM th UNION ALL SELECT 'community', threshold, (SELECT count(*) FROM g WHERE weight >= threshold) FROM th) "
+    f"SELECT *, {r('100 * n_edges', '(max(n_edges) OVER (PARTITION BY projection))', 4)} AS retained_pct FROM x"
+)
+def labelled_sweep(spark, sf):
+    """Both projections at several thresholds, in one table."""
+    return projection.labelled_sweep({"catalogue": masks.threshold_counts(tag_masks(spark, sf), CUTS), "community": projection.threshold_counts(graph(spark, sf), CUTS)})
+
+
+@query(
+    f"WITH {_pagerank_sql(10)}, st AS (SELECT uni.id, coalesce(CAST(sum(CAST(weight AS DECIMAL(18,6))) AS DOUBLE), 0) AS score FROM uni LEFT JOIN ways ON ways.id = uni.id GROUP BY 1), dg AS (SELECT uni.id, CAST(count(other) AS DOUBLE) AS score FROM uni LEFT JOIN ways ON ways.id = uni.id GROUP BY 1), "
+    "m AS (SELECT 'strength' AS metric, * FROM st UNION ALL SELECT 'degree', * FROM dg UNION ALL SELECT 'pagerank', id, round(score, 8) FROM r10), k AS (SELECT metric, CAST(row_number() OVER (PARTITION BY metric ORDER BY score DESC, id) AS INTEGER) AS rank, id AS app_id, score FROM m) "
+    "SELECT metric, rank, app_id, coalesce(p_name, CAST(app_id AS VARCHAR)) AS name, score FROM k LEFT JOIN part ON p_partkey = app_id WHERE rank <= 25"
+)
+def centrality_report(spark, sf):
+    """The first 25 items by strength, degree and PageRank."""
+    edges, nodes = final_graph(spark, sf), universe(spark, sf)
+    degree = projection.degrees(edges, nodes).select("id", F.col("degree").cast("double").alias("score"))
+    rank = centrality.pagerank(edges, nodes, rounds=10).select("id", F.round("score", 8).alias("score"))
+    return neighbours.stacked_top({"strength": neighbours.strength(edges, nodes), "degree": degree, "pagerank": rank}, names(spark, sf))
+
+
+@query(
+    _component_sizes_sql("app_id", "tag_no", TAG_RAW + ", tn AS (SELECT tag, row_number() OVER (ORDER BY tag) AS tag_no FROM (SELECT DISTINCT tag FROM tclean)), tp AS (SELECT app_id, tag_no FROM tclean JOIN tn USING (tag) WHERE tag LIKE 'size:%')", "tp")
+)
+def tag_component_sizes(spark, sf):
+    """Components of the graph of items and their size tags."""
+    pairs = tags.clean(items(spark, sf), TAGS)
+    numbers = numbered(pairs.select("tag").distinct(), ["tag"], "tag_no")
+    return bipartite.component_sizes(pairs.where(F.col("tag").startswith("size:")).join(numbers, "tag"), "app_id", "tag_no")

@@ -47,14 +47,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, for `release` to remove."""
+    path = f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that this process has written to the shared folder; results that were not read by then are lost. Returns their number."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
     This cuts the lineage like a reliable checkpoint: the files outlive any
     executor. In contrast to `checkpoint()` the result has size statistics, so
-    Catalyst can choose joins by them.
+    Catalyst can choose joins by them. The table stays until `release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.bipartite import HEAD, TAIL, graphml_lines, graphml_size
-from weftgraph.operators.contracts import ContractError, exact_columns, required_columns
+from weftgraph.operators.bipartite import TAIL, graphml_lines, graphml_size, head, reject_duplicates, unescaped
+from weftgraph.operators.contracts import ContractError, exact_columns, holds, not_empty, required_columns
 from weftgraph.operators.tags import TagConfig
 from weftgraph.session import materialize
 
@@ -23,8 +23,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, exact: b
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of items: absent tags become an empty array, an absent description an empty string."""
+    """JSON lines of items: absent tags become an empty array, an absent description an empty string; no rows, or a row without an id, fail."""
     df = spark.read.schema("app_id long, description string, tags array<string>").option("mode", "FAILFAST").json(path)
+    holds(not_empty(df), F.col("app_id").isNotNull(), "an item without an id")
     return df.select("app_id", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
@@ -65,17 +66,35 @@ def write_graphml_within(pairs: DataFrame, left: str, right: str, path: str, mos
 
 
 def write_graphml(pairs: DataFrame, left: str, right: str, path: str) -> None:
-    """Text parts that, joined in order of their names, are one GraphML file."""
+    """Text parts that, joined in order of their names, are one GraphML file; a repeated edge fails."""
     spark = pairs.sparkSession
-    ends = spark.createDataFrame([(0, HEAD), (4, TAIL)], "section int, line string")
-    graphml_lines(pairs, left, right).unionByName(ends).orderBy("section", "line").select("line").write.mode("overwrite").text(path)
+    ends = spark.createDataFrame([(0, head(left, right)), (4, TAIL)], "section int, line string")
+    lines = graphml_lines(reject_duplicates(pairs, left, right), left, right)
+    lines.unionByName(ends).orderBy("section", "line").select("line").write.mode("overwrite").text(path)
+
+
+def _xml_lines(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    text = spark.read.text(path)
+    if text.isEmpty():
+        raise ContractError(f"nothing in {path}")
+    return text.select(F.explode(F.regexp_extract_all("value", F.lit(f"<{tag}\\s[^>]*>(?:(?!</?{tag}[\\s>]).)*"), F.lit(0))).alias("x"))
+
+
+def _attribute(name: str):
+    return unescaped(F.regexp_extract("x", name + r'\s*=\s*"([^"]*)"', 1))
 
 
 def read_graphml_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(source, target) of the edges of a GraphML text with an edge a line."""
-    pattern = r'<edge source="([^"]*)" target="([^"]*)"'
-    lines = spark.read.text(path).where(F.col("value").startswith("<edge "))
-    return lines.select(F.regexp_extract("value", pattern, 1).alias("source"), F.regexp_extract("value", pattern, 2).alias("target"))
+    """(source, target) of the edges of a GraphML text, indented or not, whose tags don't cross lines; a file without any fails."""
+    edges = _xml_lines(spark, path, "edge").select(_attribute("source").alias("source"), _attribute("target").alias("target"))
+    return not_empty(edges)
+
+
+def read_graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, type, value) of the nodes: the value of key d0, and of whichever other key there is. A node and its data share a line."""
+    data = F.regexp_extract_all("x", F.lit(r'<data key="d[1-9]"\s*>([^<]*)</data>'), F.lit(1))
+    nodes = _xml_lines(spark, path, "node").select(_attribute("id").alias("id"), unescaped(F.regexp_extract("x", r'<data key="d0"\s*>([^<]*)</data>', 1)).alias("type"), unescaped(F.get(data, F.lit(0))).alias("value"))
+    return not_empty(nodes)
 
 
 def stats_json(row: DataFrame) -> str:
