@@ -53,10 +53,12 @@ def collapse(conversations: DataFrame) -> DataFrame:
     conversations are compared; a null turn comes last. Rows without a conv_id belong to no conversation and are left out;
     repeated rows count once; several rows of one turn are written by role and text.
     An empty table gives an empty result; other columns are not read. A conversation is one row of
-    the result, so its text has to fit in memory.
+    the result, so its text has to fit in memory; turns are hashed whole, whatever their length. Prefixes are equal if 128 bits of
+    hash over all their turns are: texts are not compared again.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    turns = turns.where("conv_id IS NOT NULL").distinct()
+    # Texts are written once, and read by both the hashes and the rendering.
+    turns = materialize(turns.where("conv_id IS NOT NULL").distinct())
     kept = turns.join(maximal(turns), "conv_id", "left_semi")
     lines = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), rendered(F.col("role"), F.col("text")).alias("line"))))
     return kept.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("text"))
