@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, most_bits: int
     shared = materialize(keys.join(buckets, "key"))
     # The more rows a class shares buckets with, the nearer it is to the middle of its copies.
     central = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
-    crowded = materialize(shared.drop("n").join(details.join(central, "rep"), "rep"))
+    # Neither side has a proven bound, whatever its size on a small input: both are merged, not broadcast.
+    crowded = materialize(shared.drop("n").join(details.join(central.hint("merge"), "rep").hint("merge"), "rep"))
     wanted = crowded.select(F.col("rep").alias("doc_id")).distinct()
     sets = shingle_sets(text_bytes(docs).join(wanted, "doc_id", "left_semi"))
     digests = named.select(F.col("doc_id").alias("rep"), "high", "low")
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, most_bits: int
         pairs = pairs.where(apart).select(F.col("h.rep").alias("x"), F.col("rep").alias("y"), *_named("h.", "_a"), *_named("", "_b")).where(close)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = materialize(verified(pairs, sets, threshold))
-        links = found if links is None else materialize(links.unionByName(found))
+        links = found if links is None else links.unionByName(found)
         labels = materialize(connected_components(sizes.select(F.col("rep").alias("id")), links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     rest = _unsettled(crowded, labels).join(lead.select("rep", "keys"), "rep").join(sets.select("rep", "parity"), "rep")
     left = rest.select("key", F.col("rep").alias("a"), *_named("", "_a"), F.col("component").alias("c_a"), F.col("keys").alias("k_a"), F.col("parity").alias("p_a"))
@@ -244,9 +245,8 @@ def _named(prefix: str, suffix: str) -> list:
 def _unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one component, with it."""
     rows = crowded.join(labels.withColumnRenamed("id", "rep"), "rep")
-    rows = materialize(rows)
     mixed = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
-    return rows.join(materialize(mixed), "key", "left_semi")
+    return rows.join(mixed, "key", "left_semi")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
