@@ -20,7 +20,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     both = materialize(both)
     labels = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("id"), F.least("src", "low").alias("label"))
-    labels = materialize(labels)
     for _ in range(max_rounds):
         near = both.join(labels.withColumnsRenamed({"id": "dst", "label": "near"}), "dst").groupBy("src").agg(F.min("near").alias("near"))
         hooked = labels.join(near.withColumnRenamed("src", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
