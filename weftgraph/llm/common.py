@@ -33,12 +33,12 @@ def text_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), *[F.col(c) for c in extra])
 
 
-def map_texts(rows: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """`rows.mapInArrow` with batches cut so that `body` holds about BATCH_BYTES."""
+def map_texts(rows: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = BATCH_BYTES) -> DataFrame:
+    """`rows.mapInArrow` with batches cut so that `body` holds about `most` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut_batch(batch, BATCH_BYTES):
+            for part in cut_batch(batch, most):
                 yield fn(part)
 
     return rows.mapInArrow(run, schema)

@@ -17,6 +17,8 @@ SPACE = "▁"
 MEMO = 200_000
 #: Characters of one flat array of words.
 FLAT = 1 << 18
+#: Bytes of text worked on at once; its words are objects of many times that size.
+PART = 2 << 20
 
 
 class PieceTable:
@@ -168,7 +170,8 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """`doc_id` and `ids` (array of int) of every row, and `decoded`, the text that decoding gives back.
 
     Null text counts as empty (no ids, empty decoded); nulls in doc_id are passed on;
-    an empty table gives an empty result; other columns are not read. Map-only.
+    an empty table gives an empty result; other columns are not read. Map-only. A text is encoded whole, in time that
+    grows with its length, unbroken words included; some multiples of its size have to fit in memory.
     """
     shared, key = _shared(docs, model_file)
 
@@ -180,7 +183,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([f[2].decode("utf-8", "replace") for f in found], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return map_texts(text_bytes(docs), run, "doc_id long, ids array<int>, decoded string")
+    return map_texts(text_bytes(docs), run, "doc_id long, ids array<int>, decoded string", PART)
 
 
 def encode_digest(docs: DataFrame, model_file: str) -> DataFrame:
@@ -197,4 +200,4 @@ def encode_digest(docs: DataFrame, model_file: str) -> DataFrame:
         digest = [[hashlib.sha256(f[k]).hexdigest() for f in found] for k in (1, 2)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array(digest[0], pa.string()), pa.array(digest[1], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_texts(text_bytes(docs), run, SCHEMA)
+    return map_texts(text_bytes(docs), run, SCHEMA, PART)
