@@ -56,6 +56,18 @@ def test_commands_in_a_row(spark, pairs, tmp_path):
     main(["detect-communities", *graph, "--top-k", "3", "--out", at("communities")], spark)
     main(["rank-centrality", *graph, "--top-k", "3", "--report-top-k", "2", "--out", at("ranks")], spark)
     assert spark.read.parquet(at("communities")).count() == 6 and spark.read.parquet(at("ranks")).count() == 6
+    main(["sweep-both", "--left", at("edges"), "--right", at("cut"), "--universe", at("ids"), "--thresholds", "0,0.4", "--out", at("both")], spark)
+    swept = {(r["projection"], r["threshold"]): r["n_edges"] for r in spark.read.parquet(at("both")).collect()}
+    assert len(swept) == 4 and swept["left", 0.4] == swept["right", 0.4] == swept["right", 0.0]
+    main(["threshold-stats", "--edges", at("edges"), "--threshold", "0.4", "--out", at("cutstats")], spark)
+    assert spark.read.parquet(at("cutstats")).first()["n_edges"] == swept["left", 0.4]
+    for part, n in (("assignments", 6), ("sizes", spark.read.parquet(at("communities")).select("community").distinct().count())):
+        main(["report-communities", "--labels", at("communities"), "--part", part, "--out", at(f"report-{part}")], spark)
+        assert spark.read.parquet(at(f"report-{part}")).count() == n
+    main(["compare-communities", "--left", at("communities"), "--right", at("communities"), "--out", at("agree")], spark)
+    assert spark.read.parquet(at("agree")).first()["ari"] == 1.0
+    main(["compare-centrality", "--left", at("edges"), "--right", at("edges"), "--universe", at("ids"), "--top-k", "3", "--report-top-k", "2", "--out", at("central")], spark)
+    assert {r["metric"]: r["n_shared"] for r in spark.read.parquet(at("central")).collect()} == {"strength": 2, "pagerank": 2, "betweenness": 2}
     for name in ("profile", "weight-histogram", "weight-quantiles"):
         main([name, *(graph if name == "profile" else graph[:2]), "--out", at(name)], spark)
         assert spark.read.parquet(at(name)).count() > 0
@@ -77,6 +89,11 @@ def test_tag_config_and_names(spark, tmp_path):
     (tmp_path / "config.json").write_text(json.dumps({"min_freq": 2, "max_ratio": 1.0, "rename": {"old": "new"}, "blacklist": ["b"]}, indent=1))
     main(["clean-tags", "--items", f"{tmp_path}/items.jsonl", "--config", f"{tmp_path}/config.json", "--out", f"{tmp_path}/tags"], spark)
     assert rows(spark.read.parquet(f"{tmp_path}/tags")) == sorted((i, t) for i in range(4) for t in ("a", "new"))
+    spark.createDataFrame([(0, "zero"), (1, "one"), (1, "again"), (9, "gone"), (None, "no id")], "app_id long, title string").coalesce(1).write.parquet(f"{tmp_path}/games")
+    for part, n in (("edges", 8), ("items", 2), ("names", 2), ("stats", 1)):
+        main(["clean-catalog", "--items", f"{tmp_path}/items.jsonl", "--games", f"{tmp_path}/games", "--config", f"{tmp_path}/config.json", "--part", part, "--out", f"{tmp_path}/cat-{part}"], spark)
+        assert spark.read.parquet(f"{tmp_path}/cat-{part}").count() == n
+    assert rows(spark.read.parquet(f"{tmp_path}/cat-names")) == [(0, "zero"), (1, "one")]
     names = spark.createDataFrame([(1, "x"), (1, None), (2, "y"), (2, "y")], "app_id long, name string")
     contracts.one_name(names)
     with pytest.raises(contracts.ContractError):
