@@ -140,8 +140,8 @@ TG = TAG_RAW + ", " + pairs_sql("tclean", "tag", "t")
 WAYS = "ways AS (SELECT src AS id, dst AS other, weight FROM f UNION ALL SELECT dst, src, weight FROM f)"
 FIN = G + f", f AS (SELECT * FROM g WHERE weight >= {CUT}), " + UNI + ", " + WAYS
 COMPONENTS = (
-    "reach AS (SELECT id, id AS label FROM uni UNION SELECT w.other, reach.label FROM reach JOIN ways w ON w.id = reach.id WHERE reach.label < w.other), "
-    "comp AS (SELECT id, min(label) AS component FROM reach GROUP BY 1)"
+    "comp(id, component) USING KEY (id) AS (SELECT id, id FROM uni UNION SELECT w.other, min(comp.component) FROM comp JOIN ways w ON w.id = comp.id "
+    "JOIN recurring.comp AS known ON known.id = w.other WHERE comp.component < known.component GROUP BY 1)"
 )
 
 
@@ -651,8 +651,9 @@ def top_items(spark, sf):
 
 @query(
     f"WITH RECURSIVE {G}, {UNI}, th AS (SELECT CAST(unnest({THRESHOLDS}) AS DOUBLE) AS threshold), wy AS (SELECT src AS id, dst AS other, weight FROM g UNION ALL SELECT dst, src, weight FROM g), "
-    "rt AS (SELECT threshold, id, id AS label FROM th, uni UNION SELECT rt.threshold, wy.other, rt.label FROM rt JOIN wy ON wy.id = rt.id WHERE rt.label < wy.other AND wy.weight >= rt.threshold), "
-    "cp AS (SELECT threshold, id, min(label) AS c FROM rt GROUP BY ALL), sz AS (SELECT threshold, c, count(*) AS n FROM cp GROUP BY ALL) SELECT threshold, count(*) AS n_components, max(n) AS giant, count(*) FILTER (WHERE n = 1) AS n_single FROM sz GROUP BY 1"
+    "rt(threshold, id, label) USING KEY (threshold, id) AS (SELECT threshold, id, id FROM th, uni UNION SELECT rt.threshold, wy.other, min(rt.label) FROM rt JOIN wy ON wy.id = rt.id AND wy.weight >= rt.threshold "
+    "JOIN recurring.rt AS known ON known.threshold = rt.threshold AND known.id = wy.other WHERE rt.label < known.label GROUP BY 1, 2), "
+    "sz AS (SELECT threshold, label, count(*) AS n FROM rt GROUP BY ALL) SELECT threshold, count(*) AS n_components, max(n) AS giant, count(*) FILTER (WHERE n = 1) AS n_single FROM sz GROUP BY 1"
 )
 def component_sweep(spark, sf):
     return projection.component_sweep(materialize(graph(spark, sf)), universe(spark, sf), THRESHOLDS)
