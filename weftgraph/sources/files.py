@@ -56,21 +56,21 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def write_graphml_within(pairs: DataFrame, left: str, right: str, path: str, most_bytes: int = 1 << 30, force: bool = False) -> int:
-    """`write_graphml` if the file has at most `most_bytes`, or by force; its size is worked out before anything is written."""
+def write_graphml_within(pairs: DataFrame, left: str, right: str, path: str, most_bytes: int = 1 << 30, force: bool = False, compression: str = "none") -> int:
+    """`write_graphml` if the file has at most `most_bytes`, or by force; its size, before compression, is worked out before anything is written."""
     size = graphml_size(pairs, left, right).first()["n_bytes"]
     if size > most_bytes and not force:
         raise ContractError(f"the file would have {size} bytes, more than {most_bytes}")
-    write_graphml(pairs, left, right, path)
+    write_graphml(pairs, left, right, path, compression)
     return size
 
 
-def write_graphml(pairs: DataFrame, left: str, right: str, path: str) -> None:
-    """Text parts that, joined in order of their names, are one GraphML file; a repeated edge fails."""
+def write_graphml(pairs: DataFrame, left: str, right: str, path: str, compression: str = "none") -> None:
+    """Text parts that, joined in order of their names, are one GraphML file (with `compression`, once unpacked); a repeated edge fails."""
     spark = pairs.sparkSession
     ends = spark.createDataFrame([(0, head(left, right)), (4, TAIL)], "section int, line string")
     lines = graphml_lines(reject_duplicates(pairs, left, right), left, right)
-    lines.unionByName(ends).orderBy("section", "line").select("line").write.mode("overwrite").text(path)
+    lines.unionByName(ends).orderBy("section", "line").select("line").write.mode("overwrite").text(path, compression=compression)
 
 
 def _xml_lines(spark: SparkSession, path: str, tag: str) -> DataFrame:
