@@ -165,6 +165,26 @@ def test_masks_against_the_pair_join(spark, monkeypatch):
         masks.masks(pairs)
 
 
+def test_masks_of_many_alike_items(spark, monkeypatch):
+    """Items with the same hubs are compared once; the number of blocks, and so what is sent, stays bounded; pairs carry masks to an overlap."""
+    rng = random.Random(8)
+    kinds = [rng.sample(range(70), 3) for _ in range(12)]
+    pairs = spark.createDataFrame([(f"t{t}", i) for i in range(400) for t in kinds[i % 12]], "tag string, app_id long")
+    rows = masks.masks(pairs)
+    assert masks.alike(rows).agg(F.count("*"), F.sum("m")).first()[:] == (len({tuple(sorted(k)) for k in kinds}), 400)
+    left = projection.project_pairs(pairs, "tag", "app_id").cache()
+    got = {r["threshold"]: r["n_edges"] for r in masks.threshold_counts(rows, [0.0, 0.3, 1.0, 1.1]).collect()}
+    assert got == {t: left.where(F.col("weight") >= t).count() for t in (0.0, 0.3, 1.0, 1.1)}
+    users = spark.createDataFrame(list({(rng.randrange(200), rng.randrange(420)) for _ in range(900)}), "user_id long, app_id long")
+    assert masks.overlap_of_pairs(rows, users).first() == compare.edge_overlap(left, projection.project_pairs(users)).first()
+    sent = []
+    monkeypatch.setattr(masks, "BLOCK", 1)
+    monkeypatch.setattr(masks, "MOST_BLOCKS", 5)
+    repartition = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: sent.append(self.count()) or repartition(self, *a))
+    assert masks.project(rows).count() == left.count() and sent == [25]
+
+
 def test_numbers_and_ranks_over_ranges(spark):
     rng = random.Random(2)
     values = [rng.randrange(40) for _ in range(500)]
