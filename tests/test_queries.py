@@ -47,3 +47,11 @@ def test_graphml_round_trip_of_any_size(spark, monkeypatch):
     rows = registry.queries()["graphml_round_trip"](spark, SF)
     edges = registry.users_items(spark, SF)
     assert rows.where("kind = 'edge'").count() == edges.count() and rows.where("kind = 'user_id'").count() == edges.select("user_id").distinct().count()
+
+
+def test_edge_overlap_writes_no_edges(spark, duck, monkeypatch):
+    """The edges of both graphs are counted where they arise; no table of them is written or looked up."""
+    written = []
+    monkeypatch.setattr(registry, "graph", lambda *a: written.append(a))
+    row = registry.queries()["edge_overlap"](spark, SF).first()
+    assert not written and tuple(row) == duck.execute(SQL["edge_overlap"]).fetchone()

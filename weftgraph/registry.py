@@ -415,7 +415,7 @@ SHARED = BOTH + ", sh AS (SELECT g.src, g.dst, t.weight AS w_left, g.weight AS w
     f"SELECT n_left, n_right, n_shared, n_left + n_right - n_shared AS n_union, {r('n_shared', '(n_left + n_right - n_shared)', 6)} AS edge_jaccard FROM c"
 )
 def edge_overlap(spark, sf):
-    return masks.overlap(tag_masks(spark, sf), materialize(graph(spark, sf)))
+    return masks.overlap_of_pairs(tag_masks(spark, sf), users_items(spark, sf))
 
 
 @query(f"WITH {SHARED} SELECT * FROM sh")
