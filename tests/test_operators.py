@@ -146,6 +146,21 @@ def test_leiden_beats_what_it_starts_from(spark):
     assert sizes == sorted(sizes, reverse=True) and len(sizes) == 3
 
 
+def test_leiden_by_components(spark, monkeypatch):
+    """The size limit is one of a component: graphs of many go through whole, resolved by the weight of all of them."""
+    monkeypatch.setattr(communities, "MOST_EDGES", 12)
+    graph = edges(spark, [(10 * g + a, 10 * g + b, 0.1 + g / 10) for g in range(6) for a in range(5) for b in range(a)])
+    got = {r["id"]: r["community"] for r in communities.detect(graph, ids(spark, [*(10 * g + a for g in range(6) for a in range(5)), 7])).collect()}
+    assert got == {10 * g + a: g for g in range(6) for a in range(5)} | {7: 6}
+    bridged = graph.unionAll(edges(spark, [(0, 10, 0.1)]))
+    with pytest.raises(ValueError):
+        communities.detect(bridged, ids(spark, range(60)))
+    # At a resolution by its own weight alone the light clique would fall apart.
+    monkeypatch.setattr(communities, "MOST_EDGES", 100)
+    light = edges(spark, [(1, 2, 0.01), (2, 3, 0.01), (1, 3, 0.01), (11, 12, 1.0), (12, 13, 1.0), (11, 13, 1.0)])
+    assert compare.community_sizes(communities.detect(light, ids(spark, [1, 2, 3, 11, 12, 13]), gamma=2.5), 9).count() == 4
+
+
 def test_masks_against_the_pair_join(spark, monkeypatch):
     monkeypatch.setattr(masks, "BLOCK", 17)
     rng = random.Random(6)
