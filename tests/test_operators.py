@@ -337,3 +337,15 @@ def test_tag_invariants(spark):
     pairs = tags.normalize(tags.explode_tags(frame), config)
     assert [(r["tag"], r["share"], r["reason"]) for r in tags.removed(pairs, config).collect()] == [("a", 1.0, "too_frequent")]
     assert [r["tag"] for r in tags.spared(pairs, config).collect()] == ["b"]
+
+
+def test_a_swept_table_leaves_no_shuffle(spark):
+    from weftgraph.session import SWEEP, materialize
+
+    settings = spark.conf.get(SWEEP, None)
+    status = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    shuffles = lambda: status.shuffleStatuses().size()
+    before = shuffles()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert materialize(rows, sweep=True).count() == 7 and spark.conf.get(SWEEP, None) == settings
+    assert shuffles() <= before + 1

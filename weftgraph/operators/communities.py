@@ -181,7 +181,7 @@ def detect(edges: DataFrame, universe: DataFrame, gamma: float = 1.0, seed: int
     """
     edges, nodes = materialize(edges.select("src", "dst", "weight")), universe.select("id").distinct()
     labels = connected_components(nodes, edges).withColumnsRenamed({"id": "src"})
-    rows = materialize(edges.join(labels, "src").select("component", "src", "dst", "weight"))
+    rows = materialize(edges.join(labels, "src").select("component", "src", "dst", "weight"), sweep=True)
     most = rows.groupBy("component").count().agg(F.max("count")).first()[0] or 0
     if most > MOST_EDGES:
         raise ValueError(f"a component's {most} edges are more than {MOST_EDGES}")
