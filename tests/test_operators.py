@@ -349,3 +349,11 @@ def test_a_swept_table_leaves_no_shuffle(spark):
     rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     assert materialize(rows, sweep=True).count() == 7 and spark.conf.get(SWEEP, None) == settings
     assert shuffles() <= before + 1
+
+
+def test_core_prune_of_a_long_chain(spark):
+    """Twelve users between every two of 21 items: each round takes the two ends, until nothing is left; more rounds than the SQL unrolls."""
+    rows = [(12 * i + u, i + side) for i in range(20) for u in range(12) for side in (0, 1)]
+    left, rounds = interactions.core_prune(spark.createDataFrame(rows, "user_id long, app_id long"), 2, 30, 24)
+    assert left.count() == 0 and [x["n_edges"] for x in rounds] == [24 * n for n in range(18, -1, -2)] + [0]
+    assert all(x["removed_by_item"] == x["removed_by_user"] == 24 for x in rounds[:-1])
