@@ -3,6 +3,7 @@
 import random
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -200,6 +201,47 @@ def test_masks_of_many_alike_items(spark, monkeypatch):
     assert masks.project(rows).count() == left.count() and sent == [25]
 
 
+def test_projection_sends_a_mask_once_for_alike_items(spark, monkeypatch):
+    """Blocks are ids and one mask for each kind of item in them; items without an id make no pair; more ranges than were asked for do no harm."""
+    rng = random.Random(8)
+    kinds = [rng.sample(range(70), 3) for _ in range(12)]
+    pairs = spark.createDataFrame([(f"t{t}", i) for i in range(400) for t in kinds[i % 12]] + [(f"t{t}", None) for t in kinds[0]], "tag string, app_id long")
+    want = {tuple(r) for r in projection.project_pairs(pairs, "tag", "app_id").collect()}
+    monkeypatch.setattr(masks, "BLOCK", 1)
+    monkeypatch.setattr(masks, "MOST_BLOCKS", 5)
+    repartition, by_range, sent = type(pairs).repartition, type(pairs).repartitionByRange, []
+    monkeypatch.setattr(type(pairs), "repartition", lambda self, *a: sent.append(sum(len(x) for r in self.collect() for x in r if isinstance(x, (bytes, bytearray)))) or repartition(self, *a))
+    got = masks.project(masks.masks(pairs)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and sent[0] <= 5 * 8 * (400 + 4 * 16)
+    monkeypatch.setattr(type(pairs), "repartitionByRange", lambda self, n, *a: by_range(self, n + 4, *a))
+    got = masks.project(masks.masks(pairs)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_lists_of_pairs_are_bounded(monkeypatch):
+    """However many items are alike, a row of lists stands for a bounded number of pairs; each pair of two blocks comes once each way at most."""
+    monkeypatch.setattr(masks, "ALIKE", 3)
+    monkeypatch.setattr(masks, "ROWS", 10)
+    rng = np.random.default_rng(3)
+    blocks, tags_of = [], {}
+    for at in (0, 1):
+        ids = rng.permutation(np.arange(at, 60, 2))
+        words = np.array([1, 3, 6, 8])
+        for i, w in zip(ids, np.repeat(words, [20, 5, 4, 1]), strict=True):
+            tags_of[int(i)] = int(w)
+        ids = np.concatenate([np.sort(x) for x in np.split(ids, [20, 25, 29])])
+        blocks.append((ids, np.stack([[20, 5, 4, 1], np.bitwise_count(words).astype(np.int64), words])))
+    for way in ([blocks[0], blocks[1]], [blocks[1], blocks[0]], [blocks[0], blocks[0]]):
+        got = []
+        for srcs, dsts, cuts, shared, union in masks._lists(*way):
+            ends = np.append(cuts, len(dsts))
+            assert len(srcs) <= 3 and (np.diff(ends) * len(srcs)).max() <= 10
+            for k, (start, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                got += [(int(a), int(b), int(shared[k]), int(union[k])) for a in srcs for b in dsts[start:end] if a < b]
+        both = [(int(a), int(b), tags_of[int(a)], tags_of[int(b)]) for a in way[0][0] for b in way[1][0]]
+        assert sorted(got) == sorted((a, b, (x & y).bit_count(), (x | y).bit_count()) for a, b, x, y in both if a < b and x & y)
+
+
 def test_numbers_and_ranks_over_ranges(spark):
     rng = random.Random(2)
     values = [rng.randrange(40) for _ in range(500)]
